@@ -59,6 +59,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
+def one_text_each(t: DataFrame) -> DataFrame:
+    """One row per doc_id (as long): of rows that share one, the text that sorts last; rows without a doc_id stay."""
+    t = t.select(t["doc_id"].cast("long").alias("doc_id"), "text")
+    ids = t.where("doc_id is not null").select("doc_id")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return t
+    return t.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text")).unionByName(t.where("doc_id is null"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 

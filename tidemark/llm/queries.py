@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, repair
+from . import bpe, chat, phrases, repair, setsketch
 from .common import table
 
 
@@ -36,10 +36,28 @@ def op5_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op6_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_phrase_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return c.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
     "op5_repair_ids": op5_repair_ids,
+    "op6_setsketch_near_duplicates": op6_setsketch_near_duplicates,
+    "op8_phrase_contamination": op8_phrase_contamination,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
