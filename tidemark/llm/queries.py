@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, phrases, repair, setsketch
+from . import bpe, chat, phrases, repair, setsketch, suffixes
 from .common import table
 
 
@@ -52,12 +52,17 @@ def op8_phrase_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
     "op5_repair_ids": op5_repair_ids,
     "op6_setsketch_near_duplicates": op6_setsketch_near_duplicates,
     "op8_phrase_contamination": op8_phrase_contamination,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
