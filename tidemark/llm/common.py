@@ -142,8 +142,8 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * _powers(len(h))[1][start] + (end - start).astype(np.uint64) * _M1)
 
 
-def slices(column) -> "list[tuple[int, int, np.ndarray, np.ndarray]]":
-    """Cut an Arrow string column into runs of rows of about SLICE_BYTES: (first row, last row, bytes, offsets from 0)."""
+def slices(column, size: int = 0) -> "list[tuple[int, int, np.ndarray, np.ndarray]]":
+    """Cut an Arrow string column into runs of rows of about ``size`` (SLICE_BYTES) bytes: (first row, last row, bytes, offsets from 0)."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -154,16 +154,16 @@ def slices(column) -> "list[tuple[int, int, np.ndarray, np.ndarray]]":
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(off, off[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(off, off[first] + (size or SLICE_BYTES), "right")) - 1)
         last = min(last, n)
         yield first, last, data[off[first] : off[last]], off[first : last + 1] - off[first]
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray, inside: np.ndarray):
+def words(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray, inside: np.ndarray, spans: bool = False):
     """Words of concatenated texts. lower: byte map; inside: which mapped bytes are word bytes.
 
-    Returns (row, hash) of every word in order; words never cross texts.
+    Returns (row, hash) of every word in order, with ``spans`` also its byte range; words never cross texts.
     """
     data = lower[data]
     isin = inside[data]
@@ -180,7 +180,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray, inside: np.n
     end = np.flatnonzero(isin & (~after | edge[1:])) + 1
     h = span_hash(prefix_hash(data), start, end)
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, h
+    return (row, h, start, end) if spans else (row, h)
 
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, phrases, repair, setsketch, suffixes
+from . import bpe, chat, phrases, repair, setsketch, suffixes, toxicity
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    s = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+    return s.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -59,6 +65,7 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
+    "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity,
     "op5_repair_ids": op5_repair_ids,
     "op6_setsketch_near_duplicates": op6_setsketch_near_duplicates,
     "op8_phrase_contamination": op8_phrase_contamination,
