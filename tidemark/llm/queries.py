@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, phrases, repair, setsketch, suffixes, toxicity
+from . import bpe, chat, omh, phrases, pii, repair, secrets, setsketch, suffixes, toxicity
+from . import spans as S
 from .common import table
 
 
@@ -32,6 +33,28 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = pii.all_spans(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long").alias(f"n_{k}")
+    terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    base = S.joined(F.col("base"))
+    every = F.concat(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))), terms)
+    return f.select("doc_id", *(n(k) for k in pii.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), S.joined(every).alias("spans"))
+
+
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = secrets.scan(docs, secrets.train(secrets.samples(docs)))
+    n = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long").alias(f"n_{k}")
+    rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
+    every = F.array_sort(F.transform(F.concat("base", "markov"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return d.select("doc_id", *(n(k) for k in secrets.BASE), F.sha2(S.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), S.joined(every).alias("spans"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     s = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -65,10 +88,13 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
+    "op3_private_terms": op3_private_terms,
     "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity,
     "op5_repair_ids": op5_repair_ids,
     "op6_setsketch_near_duplicates": op6_setsketch_near_duplicates,
+    "op7_markov_secrets": op7_markov_secrets,
     "op8_phrase_contamination": op8_phrase_contamination,
+    "op9_order_minhash": op9_order_minhash,
     "op10_suffix_repeats": op10_suffix_repeats,
 }
 
