@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ from .common import texts
 
 #: Longer texts are cut.
 SEGMENT_CHARS = 20_000
+#: Texts encoded before their results are passed on.
+BATCH = 256
 _SAFE = re.compile(r"[^\W_](?=[ \n])")
 _loaded: dict[tuple[str, str], object] = {}
 
@@ -63,21 +66,24 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, segment_chars: int
         import pyarrow as pa
 
         enc = encoding(path, pattern)
-        for b in batches:
-            n, a, d, kept = [], [], [], []
-            for x in b.column(1):
-                ids = encode(enc, x.as_py() or "", segment_chars)
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(decode(enc, ids)).hexdigest())
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH):
+                b = whole.slice(first, BATCH)
+                n, a, d, kept = [], [], [], []
+                for x in b.column(1):
+                    ids = encode(enc, x.as_py() or "", segment_chars)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    d.append(hashlib.sha256(decode(enc, ids)).hexdigest())
+                    if with_ids:
+                        kept.append(pa.array(ids, pa.int32()))
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    kept.append(ids)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    ends = pa.array([0, *itertools.accumulate(n)], pa.int32())
+                    cols.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     t = texts(docs)
     kind = t.schema["doc_id"].dataType.simpleString()

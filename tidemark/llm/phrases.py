@@ -234,3 +234,9 @@ def _union_spans(spans):
         F.array().cast(kind),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, with all their columns."""
+    hit = contamination(docs, items, window).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__hit"))
+    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")

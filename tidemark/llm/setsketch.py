@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, components, mix, one_text_each, slices, stored, texts, words
@@ -246,3 +247,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     nulls = feats.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return done.unionByName(nulls)
 
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of near-duplicates is kept, with all their
+    columns. Of rows that share a doc_id, the one with the text that sorts last stays."""
+    gone = near_duplicates(docs, percent, rows=ROWS if percent >= 85 else ROWS - 1).where("not kept").select("doc_id")
+    left = docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        return left
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
+    return left.withColumn("__rank", rank).where("__rank = 1 or doc_id is null").drop("__rank")
