@@ -21,13 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import LOWER, prefix_hash, slices, span_hash, stored, texts
 
 MAGIC = b"TMRP1\0"
 SHARD_TOKENS = 1_500_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 1_200_000
+#: Rules of one round of replacement, and rounds; with both, symbols of a 49k vocabulary stay below 2^16.
+ROUND_RULES, ROUNDS = 4_000, 4
 _BITS = 20
-_MULT = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[str, tuple] = {}
 
 
@@ -35,9 +36,11 @@ _loaded: dict[str, tuple] = {}
 
 
 class WordCoder:
-    """Encodes by the tokenizers library, each distinct space-separated word once while it stays in a bounded cache.
+    """Encodes by the tokenizers library, each distinct word once while it stays in a bounded cache.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order.
+    Texts are cut at ASCII white space, which the tokenizer drops, and between an ASCII letter or digit and ASCII
+    punctuation other than the apostrophe, where its splitting pattern always ends a match; A-Z are lower-cased as its
+    normaliser would. A text's ids are those of its pieces in order. Pieces are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -51,46 +54,71 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pool = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.of.encode_batch_fast(new, add_special_tokens=False)]
-        n, used = len(self.at), int(self.starts[len(self.at)])
+        self.known = np.empty(0, np.uint64)
+        self.begin = np.empty(0, np.int64)
+        self.size = np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        model, full = self.of.model, self.of.encode
+        ids = [[t.id for t in model.tokenize(w.decode())] if w.isalpha() and w.isascii() else full(w.decode(), add_special_tokens=False).ids for w in new]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        while len(self.starts) < n + len(ids) + 1:
-            self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-        total = int(lens.sum())
-        while len(self.pool) < used + total:
-            self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.uint32)])
-        self.starts[n + 1 : n + 1 + len(ids)] = used + np.cumsum(lens)
-        self.pool[used : used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.at.update(zip(new, range(n, n + len(new))))
-
-    def encode(self, texts_: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids with the end id after each text, number of ids of each text)."""
-        split = [t.replace("\n", " ").split(" ") for t in texts_]
-        every = {w for ws in split for w in ws}
-        if len(self.at) + len(every) > CACHE_WORDS:
+        begin = len(self.pool) + np.cumsum(lens) - lens
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.begin, begin), (self.size, lens)))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids with the end id after each text, number of ids of each text) of concatenated texts."""
+        data = LOWER[data]
+        kind = _KIND[data]
+        n = len(offsets) - 1
+        start = kind > 0
+        if len(data):
+            turn = _TURN[kind[:-1], kind[1:]]
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offsets[:-1]] = True
+            stop = np.empty(len(data), bool)
+            stop[:-1] = (kind[:-1] > 0) & (turn | edge[1:-1])
+            stop[-1] = kind[-1] > 0
+            start[1:] &= turn | edge[1:-1]
+            first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        else:
+            first = end = np.empty(0, np.int64)
+        h = span_hash(prefix_hash(data), first, end)
+        uniq, where, index = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(uniq) > CACHE_WORDS:
             self.clear()
-        if new := [w for w in every if w not in self.at]:
-            self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.at.__getitem__
-        index = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(counts.sum()))
-        lens = self.starts[index + 1] - self.starts[index]
-        ends = np.cumsum(counts)
+        at = np.searchsorted(self.known, uniq)
+        new = np.ones(len(uniq), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != uniq
+        if new.any():
+            raw = data.tobytes()
+            w = where[new]
+            self.learn(uniq[new], [raw[i:j] for i, j in zip(first[w].tolist(), end[w].tolist())])
+            at = np.searchsorted(self.known, uniq)
+        index = at[index] if len(uniq) else np.empty(0, np.int64)
+        lens = self.size[index]
+        row = np.searchsorted(offsets, first, "right") - 1
         total = np.concatenate([[0], np.cumsum(lens)])
-        per = total[ends] - total[ends - counts] + 1
+        ends = np.cumsum(np.bincount(row, minlength=n))
+        per = total[ends] - np.concatenate([[0], total[ends[:-1]]]) + 1 if n else np.empty(0, np.int64)
         out = np.full(int(per.sum()), end_id, np.uint32)
-        row = np.repeat(np.arange(len(split)), counts)
-        to = total[:-1] + row  # one end id before each later text
         where = expand(lens)
-        out[np.repeat(to, lens) + where] = self.pool[np.repeat(self.starts[index], lens) + where]
+        out[np.repeat(total[:-1] + row, lens) + where] = self.pool[np.repeat(self.begin[index], lens) + where]
         return out, per
 
 
+#: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation but the apostrophe, 3 anything else.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, 9, 10, 13]] = 0
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_TURN = np.zeros((4, 4), bool)
+_TURN[0, 1:] = _TURN[1:, 0] = _TURN[1, 2] = _TURN[2, 1] = True
+
+
 def expand(lens: np.ndarray) -> np.ndarray:
     """0, 1, .., n-1 for each n of lens, one after the other."""
     total = int(lens.sum())
@@ -102,9 +130,9 @@ def expand(lens: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int = 8, max_rounds: int = 10):
+def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int = 8, max_rounds: int = ROUNDS, round_rules: int = ROUND_RULES):
     """(sequence, starts of documents in it, left, right): the grammar of a shard. Nonterminals are base, base + 1, ..."""
-    x = ids.astype(np.uint64)
+    x = ids.astype(np.uint32)
     starts = doc_starts.copy()
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -112,17 +140,18 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
     for _ in range(max_rounds):
         if len(x) < 2:
             break
-        key = (x[:-1] << np.uint64(32)) | x[1:]
-        slot = ((key * _MULT) >> np.uint64(64 - _BITS)).astype(np.int32)
-        ok = np.ones(len(key), bool)
+        slot = _slots(x[:-1], x[1:])
         inner = starts[(starts > 0) & (starts < len(x))]
-        ok[inner - 1] = False
-        heavy = np.bincount(slot[ok], minlength=1 << _BITS) >= min_count
-        sel = np.flatnonzero(heavy[slot] & ok)
+        slot[inner - 1] = 0  # no pair across documents; slot 0 is not used
+        n_slot = np.bincount(slot, minlength=1 << _BITS)
+        heavy = n_slot >= min_count
+        heavy[0] = False
+        sel = np.flatnonzero(heavy[slot])
         if not len(sel):
             break
+        pair = (x[sel].astype(np.uint64) << np.uint64(32)) | x[sel + 1]
         # exact counts of the pairs that share a heavy slot, from the most frequent slots' keys
-        ks = np.sort(key[sel])
+        ks = np.sort(pair)
         first = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
         n = np.diff(np.append(first, len(ks)))
         keep = n >= min_count
@@ -132,9 +161,9 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
         lhs, rhs = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
         role = np.zeros(nxt, np.int8)
         taken = np.zeros(1 << _BITS, bool)
-        slots = ((uniq * _MULT) >> np.uint64(64 - _BITS)).astype(np.int64)
+        slots = _slots(lhs.astype(np.uint32), rhs.astype(np.uint32))
         picked = []
-        for k, (a, b, s) in enumerate(zip(lhs.tolist(), rhs.tolist(), slots.tolist())):
+        for k, (a, b, s) in enumerate(zip(lhs[: 8 * round_rules].tolist(), rhs[: 8 * round_rules].tolist(), slots[: 8 * round_rules].tolist())):
             if taken[s] or role[a] == 2 or role[b] == 1 or (a == b and role[a]):
                 continue
             if a == b:
@@ -145,6 +174,8 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
                 role[a], role[b] = 1, 2
             taken[s] = True
             picked.append(k)
+            if len(picked) == round_rules:
+                break
         if not picked:
             break
         picked = np.array(picked)
@@ -152,24 +183,28 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
         rule_of[slots[picked]] = np.arange(len(picked))
         rule_key = uniq[picked]
         r = rule_of[slot[sel]]
-        hit = (r >= 0) & (rule_key[np.maximum(r, 0)] == key[sel])
+        hit = (r >= 0) & (rule_key[r] == pair)
         at, r = sel[hit], r[hit]
         if len(at):  # in a run of equal ids, only every second pair
             new = np.concatenate([[True], np.diff(at) != 1])
             begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
             even = (np.arange(len(at)) - begin) % 2 == 0
             at, r = at[even], r[even]
-        x[at] = (nxt + r).astype(np.uint64)
+        x[at] = (nxt + r).astype(np.uint32)
         stay = np.ones(len(x), bool)
         stay[at + 1] = False
-        gone = np.concatenate([[0], np.cumsum(~stay)])
-        starts = starts - gone[starts]
+        starts = starts - np.searchsorted(at + 1, starts)
         x = x[stay]
         left.append(lhs[picked])
         right.append(rhs[picked])
         nxt += len(picked)
     cat = lambda y: np.concatenate(y) if y else np.empty(0, np.int64)
-    return x.astype(np.uint32), starts, cat(left), cat(right)
+    return x, starts, cat(left), cat(right)
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A slot from 1 on for each pair."""
+    return np.maximum(((a * np.uint32(0x9E3779B1) ^ b) * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS), np.uint32(1)).astype(np.int64)
 
 
 def lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -275,15 +310,13 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocab: int = 49_40
         coder = _loaded[path]
         at = np.array(cuts, np.int64)
         for b in batches:
-            docs_, column = b.column(0), b.column(1)
-            for k in range(0, len(column), 200):
-                own = docs_.slice(k, 200)
-                flat, per = coder.encode([x or "" for x in column.slice(k, 200).to_pylist()], end_id)
+            for first, last, data, off in slices(b.column(1), 2 << 20):
+                own = b.column(0).slice(first, last - first)
+                flat, per = coder.encode(data, off, end_id)
                 raw = flat.astype("<u4" if wide else "<u2")
                 ends = np.cumsum(per)
                 blobs = [raw[e - p : e].tobytes() for e, p in zip(ends.tolist(), per.tolist())]
-                nums = [None if x is None else x for x in own.to_pylist()]
-                bucket = [-1 if x is None else int(np.searchsorted(at, x, "right")) for x in nums]
+                bucket = [-1 if x is None else int(np.searchsorted(at, x, "right")) for x in own.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), own, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     coded = t.mapInArrow(ids_of, "bucket int, doc_id long, ids binary")
