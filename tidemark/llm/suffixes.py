@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import _powers, mix, one_text_each, prefix_hash, slices, stored, texts
@@ -35,7 +36,7 @@ GRAM = 64
 GRAMS = (0.5, 1.0)
 GROUP = 4096
 #: Bytes of text in one suffix array.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 2 << 20
 _PAD = 64
 
 
@@ -167,26 +168,41 @@ def _direct(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     h = prefix_hash(text)
     whole = window_hash(h, len(text), length)
     read = lambda i: np.ascontiguousarray(words[i]).view(">u8").ravel().astype(np.uint64)
-    out = at.copy()
-    lo = np.arange(len(at))  # places of ``out`` that are not settled
-    group = np.zeros(len(at), np.int64)
-    depth = 0
-    while len(lo) and depth < length:
+    leap = window_hash(h, len(text), _PAD)
+    v = read(at)
+    order = np.argsort(v, kind="stable")
+    out, v = at[order], v[order]
+    new = np.ones(len(out), bool)
+    new[1:] = v[1:] != v[:-1]
+    lo = np.arange(len(out))  # places of ``out`` that are not settled, their groups and how many bytes agree
+    group, depth = np.cumsum(new) - 1, np.full(len(out), 8)
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(first, len(group)))
+        gid = np.repeat(np.arange(len(first)), size)
         s = out[lo]
-        v = read(s + depth)
-        order = np.lexsort((v, group)) if depth else np.argsort(v, kind="stable")
-        s, v, g = s[order], v[order], group[order]
-        out[lo] = s  # groups keep their own places, which ascend
-        new = np.ones(len(s), bool)
-        new[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
-        gid = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        w = whole[s]
-        same = np.logical_and.reduceat(w == w[first][gid], first)
-        stay = (~same & (np.diff(np.append(first, len(s))) > 1))[gid]
-        lo, group = lo[stay], gid[stay]
-        depth += 8
-    return out
+        alike = lambda x: np.logical_and.reduceat(x == x[first][gid], first)  # noqa: E731,B023
+        stay = ((size > 1) & ~alike(whole[s]) & (depth[first] < length))[gid]
+        lo, group, depth, s = lo[stay], group[stay], depth[stay], s[stay]
+        if not len(lo):
+            return out
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        gid = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))
+        far = alike(leap[s + depth])[gid]  # the whole group agrees that far
+        i = np.flatnonzero(~far)
+        depth[far] += _PAD
+        group = gid * 2
+        if len(i):
+            v = read(s[i] + depth[i])
+            order = np.lexsort((v, gid[i]))
+            v, g = v[order], gid[i][order]
+            out[lo[i]] = s[i][order]  # groups keep their own places, which ascend
+            new = np.ones(len(i), bool)
+            new[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
+            part = np.cumsum(new)
+            group = gid * (len(i) + 1)
+            group[i] += part  # parts ascend within a group
+            depth[i] += 8
 
 
 def lay(parts: list[bytes], starts: list[int], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,18 +280,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(several)], names=["doc_id", "start", "count", "key", "own", "several"])
 
     found = stored(t.mapInArrow(describe, "doc_id long, start int, count int, key long, own long, several boolean"), "chunks")
-    for part in GRAMS:
-        hot = found.select("key", "own").distinct().groupBy("key").count().where(F.col("count") > group).select("key")
-        hot = stored(hot, "hot")
-        if hot.limit(1).count() == 0:
+    for part in (*GRAMS, None):
+        # one row per different chunk: its copies and one place to read it from
+        kinds = stored(found.groupBy("key", "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "count")).alias("at"), F.max("several").alias("several")), "kinds")
+        hot = kinds.groupBy("key").count().where(F.col("count") > group).select("key")
+        if part is None or hot.limit(1).count() == 0:
             break
+        hot = stored(hot, "hot")
         again = found.join(hot, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key")).alias("wanted"))
         finer = t.join(again, t["doc_id"].eqNullSafe(again["doc_id"])).select(t["doc_id"], "text", "wanted").mapInArrow(_refine(length, int(length * part)), found.schema)
         found = stored(found.join(hot, "key", "left_anti").select(found.columns).unionByName(finer), "chunks")
-    # one row per different chunk: its copies and one place to read it from
-    kinds = found.groupBy("key", "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "count")).alias("at"), F.max("several").alias("several"))
-    hot = kinds.groupBy("key").agg(F.sum("copies").alias("n"), F.max("several").alias("s")).where("n > 1 or s").select("key")
-    kinds = stored(kinds.join(hot, "key", "left_semi").select("key", "own", "copies", "at.doc_id", "at.start", "at.count"), "kinds")
+    # a key has a bounded number of different chunks now
+    own_key = W.partitionBy("key")
+    kinds = kinds.withColumn("n", F.sum("copies").over(own_key)).withColumn("s", F.max("several").over(own_key)).where("n > 1 or s")
+    kinds = kinds.select("key", "own", "copies", "at.doc_id", "at.start", "at.count")
     need = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key", "own", "copies")).alias("wanted"))
 
     def cut(batches):
