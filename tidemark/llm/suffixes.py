@@ -31,7 +31,7 @@ from .common import _powers, mix, one_text_each, prefix_hash, slices, stored, te
 from .repair import expand
 
 LENGTH = 400
-GRAM = 64
+GRAM = 128
 #: Grams of further keys as parts of ``length``, for keys with more than GROUP different chunks.
 GRAMS = (0.5, 1.0)
 GROUP = 4096
