@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Text handled at once inside a Python worker; bounds the numpy temporaries, not the texts (one text may exceed it).
 SLICE_BYTES = 1 << 20
 
@@ -25,32 +24,41 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+_scratch: dict[str, str] = {}
+
+
+def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Scratch tables are only needed until the results that read them are written; see ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if scratch:
+        _scratch[path] = spark.sparkContext.applicationId
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidemark_path = path
+    return back
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        if _scratch.pop(path, None):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application: they may not have it on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    path = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
-    path.write_bytes(held.getvalue())
-    sc.addPyFile(str(path))
-    sc._tidemark_shipped = True
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Only call it when every result made so far has been written."""
+    own = spark.sparkContext.applicationId
+    drop(spark, *[p for p, app in _scratch.items() if app == own])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -86,10 +94,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
         new = stored(small, "cc")
-        if not _differ(now, new):
-            now = new
-            break
+        same = not _differ(now, new)
+        drop(edges.sparkSession, now._tidemark_path)
         now = new
+        if same:
+            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -239,4 +239,4 @@ def _union_spans(spans):
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     hit = contamination(docs, items, window).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    return docs.join(hit.hint("merge"), docs["doc_id"] == F.col("__hit"), "left_anti")

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
                 blobs = [hs[i:j].tobytes() for i, j in zip(st[:-1].tolist(), st[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], names=["rep", "set"])
 
-    named = t.join(family.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # texts are dealt, not the ids broadcast: their number grows with the input
+    named = t.join(family.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     full = named.mapInArrow(sets, "rep long, set binary").join(blocks, "rep")
     work = full.select("family", "own", "rep", "set", F.explode(meets).alias("m")).select("family", "m.low", "m.high", "own", "rep", "set")
     dealt = work.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "own", "rep")
@@ -253,7 +254,7 @@ def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near-duplicates is kept, with all their
     columns. Of rows that share a doc_id, the one with the text that sorts last stays."""
     gone = near_duplicates(docs, percent, rows=ROWS if percent >= 85 else ROWS - 1).where("not kept").select("doc_id")
-    left = docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.join(gone.withColumnRenamed("doc_id", "__gone").hint("merge"), docs["doc_id"] == F.col("__gone"), "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         return left
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
