@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 Documents predicted to be toxic go; one document of each group of near-duplicates stays; documents that hold a
 benchmark passage go; secrets in the texts of the rest are replaced by a mark; what is left is encoded.
+
+A stage is called when the result of the one before it has been written and read again; it first deletes the scratch
+tables of the earlier stages.
 """
 
 from __future__ import annotations
@@ -12,27 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, phrases, secrets, setsketch, toxicity
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import release, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return toxicity.ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return setsketch.one_of_each(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return phrases.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     new = secrets.redact(docs, secrets.train(secrets.samples(docs)))
     return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -54,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+            docs = stored(docs, name, scratch=False)
     return docs
