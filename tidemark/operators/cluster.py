@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import square_distance
-from ..session import ship
+from ..session import ship, tabled
 
 # ---------------------------------------------------------------- Lloyd on DataFrames
 
 
-def _broken(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 def init_rows(n: int, k: int) -> list[int]:
     """Evenly spaced rows: round(i (n - 1) / (k - 1)), halves to even."""
     return [min(n - 1, round(i * (n - 1) / max(1, k - 1))) for i in range(k)]
@@ -53,7 +43,7 @@ def lloyd(points: DataFrame, k: int, rounds: int = 100, first_rows: bool = False
         for r in sums:
             new[r["label"]][r["pos"]] = r["v"]
         centres = new
-    return _broken(labelled)
+    return tabled(labelled, "lloyd")
 
 
 # ---------------------------------------------------------------- numpy kernels

@@ -133,22 +133,26 @@ def structure(returns: DataFrame, size: int, step: int, periods: float = 252.0)
     return out.select("window_ord", "start_date", "end_date", "mean_correlation", "median_correlation", "mean_distance", "market_volatility", "dispersion")
 
 
-def snapshots(panel: DataFrame, size: int, step: int, focus: str, periods: float = 252.0, threshold: float = 0.55) -> DataFrame:
-    """One row of 16 features per market window: ``size`` + 1 prices, ``size`` simple returns, ``range(0, n - size, step)``."""
+def snapshots(panel: DataFrame, size: int, step: int, focus: str, periods: float = 252.0, threshold: float = 0.55, hold=lambda df: df) -> DataFrame:
+    """One row of 16 features per market window: ``size`` + 1 prices, ``size`` simple returns, ``range(0, n - size, step)``.
+
+    hold: called on what several features read (the expanded prices, returns and pairs); pass ``DataFrame.cache`` or a
+    function that writes a table, so that each is computed once.
+    """
     days = panel.select("date").distinct().withColumn("ord", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))
     p = panel.join(days, "date")
-    x = expand(p, size + 1, step)
+    x = hold(expand(p, size + 1, step))
     w = W.partitionBy("window_ord", "ticker").orderBy("ord")
-    r = x.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).where("ret is not null")
-    total = x.groupBy("window_ord", "ticker", "sector").agg((F.max_by("close", "ord") / F.min_by("close", "ord") - 1).alias("total"))
+    r = hold(x.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).where("ret is not null"))
+    total = hold(x.groupBy("window_ord", "ticker", "sector").agg((F.max_by("close", "ord") / F.min_by("close", "ord") - 1).alias("total")))
     t = total.groupBy("window_ord").agg(F.avg("total").alias("mean_return"), F.percentile("total", F.lit(0.5)).alias("median_return"), safe_stddev(F.col("total")).alias("return_std"))
-    day = r.groupBy("window_ord", "ord").agg(F.avg("ret").alias("ret"), safe_stddev(F.col("ret")).alias("s"))
+    day = hold(r.groupBy("window_ord", "ord").agg(F.avg("ret").alias("ret"), safe_stddev(F.col("ret")).alias("s")))
     d = day.groupBy("window_ord").agg((safe_stddev(F.col("ret")) * F.sqrt(F.lit(periods))).alias("market_volatility"), F.avg("s").alias("return_dispersion"))
     up = W.partitionBy("window_ord").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     path = day.withColumn("level", F.exp(F.sum(F.log1p("ret")).over(up))).withColumn("peak", F.max("level").over(up))
     dd = path.groupBy("window_ord").agg(F.least(F.min(F.col("level") / F.col("peak") - 1), F.lit(0.0)).alias("market_max_drawdown"))
     vol = ticker_volatility(r, periods).groupBy("window_ord").agg(safe_stddev(F.col("stock_volatility")).alias("volatility_dispersion"))
-    pairs = pair_correlations(r)
+    pairs = hold(pair_correlations(r))
     c = pairs.groupBy("window_ord").agg(F.avg("corr").alias("mean_correlation"), safe_stddev(F.col("corr")).alias("correlation_std"))
     g = graph_metrics(pairs, total.select("window_ord", "ticker"), threshold)
     sec = total.groupBy("window_ord", "sector").agg(F.avg("total").alias("m"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, tickers
 from ..functions.stats import rounded
 from ..operators import cleaning, cluster, embed, evaluate, labels, predict, ranking, returns, windows
+from ..session import tabled
 from ..sources import archive, simulate
 from ..sources.panel import labelled_points, price_panel, table
 from .base_sql import SIZE, STEP, six, sql
@@ -45,17 +46,18 @@ def _six(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _panel(s, d):
-    return price_panel(s, d)
+    """The one stage that reads the large tables; everything after it is of the size of the panel."""
+    return tabled(price_panel(s, d), "panel")
 
 
 def _clean(s, d):
-    return cleaning.clean_panel(_panel(s, d))
+    return tabled(cleaning.clean_panel(_panel(s, d)), "clean")
 
 
 def _returns(s, d):
     """ord, date, ticker, sector, ret: winsorised log returns of the cleaned panel; small, and used several times."""
     r = returns.winsorize(returns.log_returns(_clean(s, d)), ["ret"], 0.005, 0.995)
-    return returns.with_ord(r).select("ord", "date", "ticker", "sector", "ret").cache()
+    return tabled(returns.with_ord(r).select("ord", "date", "ticker", "sector", "ret"), "returns")
 
 
 def _expanded(s, d):
@@ -67,19 +69,19 @@ def _pairs(s, d):
 
 
 def _metrics(s, d):
-    return windows.structure(_returns(s, d), SIZE, STEP)
+    return tabled(windows.structure(_returns(s, d), SIZE, STEP), "metrics")
 
 
 def _snapshots(s, d):
-    return windows.snapshots(_clean(s, d).cache(), SIZE, STEP, FOCUS, threshold=EDGE)
+    return windows.snapshots(_clean(s, d), SIZE, STEP, FOCUS, threshold=EDGE, hold=tabled)
 
 
 def _labelled(s, d):
-    return _snapshots(s, d).withColumn("label", F.quarter("end_date"))
+    return tabled(_snapshots(s, d).withColumn("label", F.quarter("end_date")), "labelled")
 
 
 def _assets(s, d):
-    return returns.asset_features(_clean(s, d))
+    return tabled(returns.asset_features(_clean(s, d)), "assets")
 
 
 def _profile(s, d):
@@ -490,7 +492,7 @@ def d14_alignment(s, d):
 
 @query(sql("SELECT window_ord, 1.0 AS norm_ratio, 1.0 AS distance_ratio FROM wtab"))
 def d15_alignment_diagnostics(s, d):
-    a = embed.alignment_diagnostics(embed.align(embed.mds(windows.with_distance(_pairs(s, d)))).cache())
+    a = embed.alignment_diagnostics(tabled(embed.align(embed.mds(windows.with_distance(_pairs(s, d)))), "aligned"))
     return a.select("window_ord", F.round("norm_ratio", 6).alias("norm_ratio"), F.round("distance_ratio", 6).alias("distance_ratio"))
 
 
@@ -552,7 +554,7 @@ def d23_label_overlaps(s, d):
 
 @query()
 def d23_matched_labels(s, d):
-    return embed.match_labels(cluster.window_labels(windows.with_distance(_pairs(s, d)), 6).cache())
+    return embed.match_labels(cluster.window_labels(windows.with_distance(_pairs(s, d)), 6))
 
 
 @query()
@@ -578,7 +580,7 @@ _PICKS = """SELECT CAST(row_number() OVER (ORDER BY pick) AS INTEGER) AS pick, w
 
 @query(sql(_PICKS))
 def e1_key_snapshots(s, d):
-    return ranking.key_snapshots(_metrics(s, d).cache())
+    return ranking.key_snapshots(_metrics(s, d))
 
 
 @query(sql("SELECT ticker, round(abs(return_1y) + abs(momentum_6m), 6) AS score FROM assets ORDER BY abs(return_1y) + abs(momentum_6m) DESC, ticker LIMIT 18"))
@@ -636,8 +638,7 @@ _LAGS = [f"lag_{c}" for c in WINDOW_METRICS]
 
 
 def _frame(s, d):
-    m = windows.structure(_returns(s, d), SIZE, STEP)
-    return predict.split(predict.lag_frame(m, WINDOW_METRICS, "market_volatility"))
+    return predict.split(predict.lag_frame(_metrics(s, d), WINDOW_METRICS, "market_volatility"))
 
 
 @query(sql(f"SELECT window_ord, row, {six(*_LAGS, 'target')}, row <= greatest(1, floor(0.7 * (SELECT count(*) FROM frame) + 1e-9)) AS train FROM frame", frame=_FRAME))
@@ -688,8 +689,7 @@ def g9_g11_network(s, d):
 
 @query()
 def g15_kmeans(s, d):
-    x = returns.standardize(_snapshots(s, d), windows.SNAPSHOT_FEATURES)
-    return cluster.lloyd(x.select(F.col("window_ord").alias("id"), F.array(*windows.SNAPSHOT_FEATURES).alias("x")), 4).select("id", "label")
+    return cluster.lloyd(_window_points(s, d), 4).select("id", "label")
 
 
 @query(sql("SELECT round(avg(sil), 6) + 0.0 AS silhouette FROM (SELECT CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN 1 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS sil FROM (SELECT i, max(m) FILTER (WHERE li = lj) AS a, min(m) FILTER (WHERE li <> lj) AS b FROM (SELECT i, li, lj, avg(d) AS m FROM prs GROUP BY ALL) GROUP BY i))",
@@ -717,7 +717,7 @@ def g21_inertia(s, d):
 
 def _window_points(s, d):
     x = returns.standardize(_snapshots(s, d), windows.SNAPSHOT_FEATURES)
-    return x.select(F.col("window_ord").alias("id"), F.array(*windows.SNAPSHOT_FEATURES).alias("x")).cache()
+    return tabled(x.select(F.col("window_ord").alias("id"), F.array(*windows.SNAPSHOT_FEATURES).alias("x")), "points")
 
 
 @query()
@@ -756,7 +756,7 @@ def g26_regime_names(s, d):
 
 @query(sql("SELECT l.window_ord, l.end_date, l.label, r.regime_name FROM labelled l JOIN regimes r USING (label)", means=_NAMED, regimes=_REGIME))
 def g27_assignments(s, d):
-    x = _labelled(s, d).cache()
+    x = _labelled(s, d)
     return x.join(F.broadcast(labels.name_regimes(x, windows.SNAPSHOT_FEATURES)), "label").select("window_ord", "end_date", "label", "regime_name")
 
 
@@ -781,7 +781,7 @@ def g30_event_neighbourhoods(s, d):
     lastd="SELECT DISTINCT date FROM cleaned ORDER BY date DESC LIMIT 21",
     lr="SELECT * FROM (SELECT date, ticker, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM cleaned WHERE date IN (SELECT date FROM lastd)) WHERE ret IS NOT NULL"))
 def g31_latest_network(s, d):
-    return labels.latest_network(_clean(s, d).cache(), SIZE, above=0.2).select("t1", "t2", rounded("corr", 5).alias("corr"))
+    return labels.latest_network(_clean(s, d), SIZE, above=0.2).select("t1", "t2", rounded("corr", 5).alias("corr"))
 
 
 @query(sql("SELECT label, count(*) AS n, " + ", ".join(f"round(avg({c}), 5) + 0.0 AS {c}" for c in windows.SNAPSHOT_FEATURES) + " FROM labelled GROUP BY label"))
@@ -802,7 +802,7 @@ def h1_distances(s, d):
 
 def _asset_points(s, d):
     a = returns.standardize(returns.winsorize(_assets(s, d), ASSET_FEATURES, 0.01, 0.99), ASSET_FEATURES)
-    return a.select((F.row_number().over(W.orderBy("ticker")) - 1).alias("id"), F.array(*ASSET_FEATURES).alias("x")).cache()
+    return tabled(a.select((F.row_number().over(W.orderBy("ticker")) - 1).alias("id"), F.array(*ASSET_FEATURES).alias("x")), "points")
 
 
 @query()
@@ -848,7 +848,7 @@ def j1_summary_cards(s, d):
 @query()
 def j2_dashboard_kmeans(s, d):
     a = ranking.range_scale(_assets(s, d), ASSET_FEATURES)
-    p = a.select((F.row_number().over(W.orderBy("ticker")) - 1).alias("id"), F.array(*ASSET_FEATURES).alias("x")).cache()
+    p = a.select((F.row_number().over(W.orderBy("ticker")) - 1).alias("id"), F.array(*ASSET_FEATURES).alias("x"))
     return cluster.lloyd(p, 8, rounds=18, first_rows=True, fixed_rounds=True).select("id", "label")
 
 
@@ -880,6 +880,6 @@ def l2_metric_correlations(s, d):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship on a small table: monthly panel, short windows, low coverage threshold."""
-    p = cleaning.clean_panel(price_panel(spark, sf_dir, "month"), limit=2, least=0.5)
-    r = returns.with_ord(returns.winsorize(returns.log_returns(p), ["ret"], 0.005, 0.995)).cache()
+    p = cleaning.clean_panel(tabled(price_panel(spark, sf_dir, "month"), "panel"), limit=2, least=0.5)
+    r = tabled(returns.with_ord(returns.winsorize(returns.log_returns(p), ["ret"], 0.005, 0.995)))
     return _six(windows.structure(r, 6, 2, periods=12.0), *WINDOW_METRICS)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", **conf: str) -> SparkSession:
@@ -32,3 +33,19 @@ def ship(spark: SparkSession) -> None:
     path.write_bytes(held.getvalue())
     sc.addPyFile(str(path))
     sc._tidemark_shipped = True
+
+
+def tabled(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the folder that the cluster shares and read it back.
+
+    Stages that several features read are computed once, plans stay short, sizes are known to the optimizer, and a lost
+    executor costs a re-read. The folder is ``spark.checkpoint.dir``, or one of our own where it is unset.
+    """
+    spark = df.sparkSession
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
