@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss; DataFrame expressions only.
 
 Base spans are the leftmost non-overlapping matches of each kind (see ``BASE``). The models are two first-order chains
-over the characters of random strings and of ordinary identifiers, counted on labelled samples with additive smoothing.
-A candidate (a run of at least ``least`` characters of ``[A-Za-z0-9+/_=-]`` with a digit) whose log-likelihood ratio per
+over the characters of random strings and of ordinary identifiers, counted on labelled samples and smoothed by single
+characters. A candidate (a run of at least ``least`` characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit) whose log-likelihood ratio per
 step exceeds ``threshold`` is one more span, of kind ``markov``, unless it overlaps a base span.
 
 Null texts are empty and have no spans. Rows that repeat, tie or have null doc_ids are scanned each for itself. Extra
-columns pass through ``scan`` and ``redact``; those named like its results are replaced. An empty table gives an empty
-table, and samples without one of the labels leave that chain uniform.
+columns pass through ``scan`` and ``redact``; a column named like a result of ``scan`` is replaced. An empty table gives an empty
+table, and without samples of a label its chain is uniform.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BASE = {
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]++"
 LEAST, THRESHOLD = 20, 0.6
+#: Weight of the single-character distribution in each step's.
+PRIOR = 8.0
 _SIZE = 128
 
 
@@ -53,22 +55,27 @@ def train(samples: DataFrame) -> list[float]:
         n[r["random"]][r["x"] * _SIZE + r["y"]] += r["count"]
     import math
 
+    # unseen steps get what the next character has on its own, so a chain is not uniform where it has seen nothing
+    alone = {k: [sum(v[y::_SIZE]) + 0.5 for y in range(_SIZE)] for k, v in n.items()}
+    alone = {k: [x / sum(v) for x in v] for k, v in alone.items()}
     out = []
     for x in range(_SIZE):
         row = {k: v[x * _SIZE : (x + 1) * _SIZE] for k, v in n.items()}
-        sums = {k: sum(v) + 0.5 * 66 for k, v in row.items()}
-        out += [math.log((a + 0.5) / sums[True]) - math.log((b + 0.5) / sums[False]) for a, b in zip(row[True], row[False])]
+        p = {k: [(c + PRIOR * u) / (sum(v) + PRIOR) for c, u in zip(v, alone[k])] for k, v in row.items()}
+        out += [math.log(a) - math.log(b) for a, b in zip(p[True], p[False])]
     return out
 
 
 def samples(docs: DataFrame, most: int = 2_000, strings: int = 20_000) -> DataFrame:
-    """Labelled samples: random strings (digests written in hexadecimal and base 64) and the ordinary identifiers of a
-    bounded number of documents (those with the smallest hashes of their ids)."""
+    """Labelled samples: random strings (digests written in hexadecimal and base 64), and as ordinary identifiers those
+    that stand in at least two texts of a bounded number of documents (those with the smallest hashes of their ids)."""
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     odd = spark.range(0, strings, 1, 4).select(F.when(F.col("id") % 4 == 0, F.lower(F.hex(digest))).otherwise(F.base64(digest)).alias("value"), F.lit(True).alias("random"))
     few = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    plain = few.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z_][A-Za-z0-9_-]{2,}+"), F.lit(0))).alias("value"))
+    # what stands in two different texts is not random
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_-]{2,}+"), F.lit(0)))
+    plain = few.where("text is not null").select("text").distinct().select(F.explode(found).alias("value")).groupBy("value").count().where("count > 1")
     plain = plain.where(~F.col("value").rlike("^(?:[0-9a-f]{24,}|AKIA.*)$")).select("value", F.lit(False).alias("random"))
     return odd.unionByName(plain)
 
@@ -79,19 +86,20 @@ def ratio(value: Column, model: Column) -> Column:
     return S.let(codes, lambda c: F.aggregate(F.sequence(F.lit(2), F.size(c)), F.lit(0.0), lambda a, i: a + F.get(model, F.element_at(c, i - 1) * _SIZE + F.element_at(c, i))) / (F.size(c) - 1))
 
 
-def scan(docs: DataFrame, model: list[float], least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with base (spans) and markov (spans). One pass, no shuffle."""
+def scan(docs: DataFrame, model: list[float], least: int = LEAST, threshold: float = THRESHOLD, names: tuple[str, str] = ("base", "markov")) -> DataFrame:
+    """``docs`` with two columns of spans, named by ``names``. One pass, no shuffle."""
+    base, markov = names
     held = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     d = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    more = S.matches(F.col("text"), "markov", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+", F.lit(True), lambda s: s["value"].rlike("[0-9]") & (ratio(s["value"], held) > threshold))
-    return d.withColumn("base", base_spans(F.col("text"))).withColumn("markov", S.apart(more, F.col("base")))
+    more = S.matches(F.col("text"), "markov", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+", F.lit(True), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (ratio(s["value"], held) > threshold))
+    return d.withColumn(base, base_spans(F.col("text"))).withColumn(markov, S.apart(more, F.col(base)))
 
 
 def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
     cols = docs.columns
-    d = scan(docs, model)
-    every = F.array_sort(F.transform(F.concat("base", "markov"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    d = scan(docs, model, names=("__base", "__markov"))
+    every = F.array_sort(F.transform(F.concat("__base", "__markov"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     kind = "struct<at:int,out:array<string>>"
 
     def step(acc: Column, s: Column) -> Column:
@@ -102,4 +110,4 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataF
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
     done = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1)))
-    return d.withColumn("text", F.when(F.size(F.concat("base", "markov")) > 0, done).otherwise(F.col("text"))).select(*cols)
+    return d.withColumn("text", F.when(F.size(F.concat("__base", "__markov")) > 0, done).otherwise(F.col("text"))).select(*cols)
