@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 K, TUPLES, LENGTH = 2, 32, 2
-_GAP = r"[\x20\x09-\x0D]+"
+_GAP, _WHITE = r"[\x20\x09-\x0D]++", " \t\n\x0b\x0c\r"
 
 
 def follow(docs: DataFrame, parts: int) -> DataFrame:
@@ -52,12 +52,13 @@ def edited(text: Column, nxt: Column) -> Column:
 
 def sketches(rows: DataFrame, keys: list[str], text: str, k: int = K, tuples: int = TUPLES) -> DataFrame:
     """(keys, fingerprint as array<bigint>) of every row with words, where rows are already dealt by the first of ``keys``."""
-    words = F.filter(F.split(text, _GAP), lambda w: w != "")
-    w = rows.select(*keys, words.alias("w"))
+    bare = F.btrim(F.col(text), F.lit(_WHITE))
+    w = rows.select(*keys, F.when(bare != "", F.split(bare, _GAP)).alias("w")).where("w is not null")
     shifted = [F.col("w").alias("w0"), *(F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(1, k))]
     e = w.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "m")).select(*keys, "pos", F.xxhash64(*(F.col(f"m.w{i}") for i in range(k))).alias("kmer"))
-    # the hash comes first in the sort: its prefixes hardly ever tie
-    occurrence = F.row_number().over(W.partitionBy("kmer", *keys).orderBy("pos"))
+    # one window per text, not one per k-mer: places among equal k-mers are row numbers less ranks
+    every = W.partitionBy(*keys)
+    occurrence = F.row_number().over(every.orderBy("kmer", "pos")) - F.rank().over(every.orderBy("kmer")) + 1
     h = e.select(*keys, "pos", F.xxhash64("kmer", occurrence).alias("h"))
     stratum = F.pmod("h", F.lit(tuples * LENGTH)).cast("int")
     # 38 bits of the hash above 26 bits of the place: one number, so the minimum is a plain aggregate
