@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,10 @@ def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    # the shuffle files of what is now written go with the driver's garbage: not later than this
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     if scratch:
         _scratch[path] = spark.sparkContext.applicationId
     back = spark.read.schema(df.schema).parquet(path)

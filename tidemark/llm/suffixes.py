@@ -268,13 +268,13 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
     spark = docs.sparkSession
-    t = one_text_each(texts(docs))
+    t = _numbered(one_text_each(texts(docs)))
 
     def describe(batches):
         import pyarrow as pa
 
         for b in batches:
-            for first, last, data, off in slices(b.column(1)):
+            for first, last, data, off in slices(b.column(b.schema.get_field_index("text"))):
                 row, start, count, key, own, several = chunks(data, off, length, gram)
                 ids = b.column(0).slice(first, last - first).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64)), pa.array(several)], names=["doc_id", "start", "count", "key", "own", "several"])
@@ -282,23 +282,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = stored(t.mapInArrow(describe, "doc_id long, start int, count int, key long, own long, several boolean"), "chunks")
     for part in (*GRAMS, None):
         # one row per different chunk: its copies and one place to read it from
-        kinds = stored(found.groupBy("key", "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start", "count")).alias("at"), F.max("several").alias("several")), "kinds")
-        hot = kinds.groupBy("key").count().where(F.col("count") > group).select("key")
+        kinds = stored(found.groupBy("key", "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("at"), F.min("count").alias("count"), F.max("several").alias("several")).select("key", "own", "copies", "at.*", "count", "several"), "kinds")
+        # estimated from a share of the kinds: it only decides how keys are dealt, not what is found
+        share = 16 if group >= 1024 else 1
+        hot = kinds.where(F.pmod("own", F.lit(share)) == 0).groupBy("key").count().where(F.col("count") > group / share).select("key")
         if part is None or hot.limit(1).count() == 0:
             break
         hot = stored(hot, "hot")
         again = found.join(hot, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key")).alias("wanted"))
-        finer = t.join(again, t["doc_id"].eqNullSafe(again["doc_id"])).select(t["doc_id"], "text", "wanted").mapInArrow(_refine(length, int(length * part)), found.schema)
+        finer = t.dropDuplicates(["doc_id"]) if "anon" in t.columns else t
+        finer = finer.join(again, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_refine(length, int(length * part)), found.schema)
         found = stored(found.join(hot, "key", "left_anti").select(found.columns).unionByName(finer), "chunks")
     # a key has a bounded number of different chunks now
     own_key = W.partitionBy("key")
     kinds = kinds.withColumn("n", F.sum("copies").over(own_key)).withColumn("s", F.max("several").over(own_key)).where("n > 1 or s")
-    kinds = kinds.select("key", "own", "copies", "at.doc_id", "at.start", "at.count")
+    kinds = kinds.select("key", "own", "copies", "doc_id", "start", "count")
     need = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key", "own", "copies")).alias("wanted"))
 
     def cut(batches):
+        """The chunks' texts, packed: they are the bulk of what is dealt."""
         import pyarrow as pa
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             text, wanted = b.column(0), b.column(1)
             for x, ws in zip(text, wanted):
@@ -308,15 +314,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                     part = ws[k : k + 4096]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([w[c] for w in part], kind) for c, kind in (("key", pa.int64()), ("own", pa.int64()), ("count", pa.int32()), ("copies", pa.int64()))]
-                        + [pa.array([raw[w["start"] : w["start"] + w["count"] - 1 + length] for w in part], pa.binary())],
+                        + [pa.array([pack(raw[w["start"] : w["start"] + w["count"] - 1 + length]) for w in part], pa.binary())],
                         names=["key", "own", "count", "copies", "chunk"],
                     )
 
+    # null-safe both times: the same exchange of the texts serves this join and the last one
     pieces = t.join(need, t["doc_id"].eqNullSafe(need["doc_id"])).select("text", "wanted").mapInArrow(cut, "key long, own long, count int, copies long, chunk binary")
     dealt = pieces.repartition("key").sortWithinPartitions("key")
 
     def mark(batches):
         import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def solve(held):
             flags = repeated_starts([h[4] for h in held], [h[2] for h in held], [h[3] for h in held], length)
@@ -331,8 +341,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 if held and size >= ARRAY_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4]) + length + _PAD
+                held.append((*row[:4], unpack(row[4])))
+                size += len(held[-1][4]) + length + _PAD
         if held:
             yield solve(held)
 
@@ -374,11 +384,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    own_id = F.when(~t["anon"], t["doc_id"]) if "anon" in t.columns else t["doc_id"]
     per = per.select(F.col("doc_id").alias("id"), "hits")
-    done = t.join(per, t["doc_id"].eqNullSafe(per["id"]), "left").select(t["doc_id"], "text", "hits")
+    done = t.join(per, t["doc_id"].eqNullSafe(per["id"]), "left").select(own_id.alias("doc_id"), "text", "hits")
     return done.mapInArrow(drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
+def _numbered(t: DataFrame) -> DataFrame:
+    """Documents without a doc_id get one that no other has, by a hash of their text, and are marked (anon); equal
+    texts share it, and have equal results. Without such documents, ``t`` itself."""
+    none = t.where("doc_id is null")
+    if none.limit(1).count() == 0:
+        return t
+    for salt in range(16):
+        own = none.select(F.xxhash64("text", F.lit(salt)).alias("doc_id"), "text", F.lit(True).alias("anon"))
+        if t.select("doc_id").join(own.select("doc_id"), "doc_id", "left_semi").limit(1).count() == 0:
+            return t.where("doc_id is not null").withColumn("anon", F.lit(False)).unionByName(own)
+    raise RuntimeError("no free doc_ids")
+
+
 def _refine(length: int, gram: int):
     """Cut the given chunks of each text into chunks by keys of longer grams."""
 
