@@ -194,6 +194,18 @@ def test_repeats(spark, docs, rows, group):
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_repeats_in_short_periodic_runs(spark):
+    """Repeats inside one otherwise unique document, by runs of all periods that one chunk's grams can hide."""
+    rng = np.random.default_rng(3)
+    unique = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    runs = [unique(100) * 5 for _ in range(40)] + [(unique(d) * 30)[: 400 + d + more] for _ in range(8) for d in (50, 150, 272) for more in (1, d // 2, d - 1)] + [unique(900)]
+    rows = [(i, unique(700) + r + unique(700)) for i, r in enumerate(runs)]
+    want = repeats([t.encode() for _, t in rows], 400)
+    assert sum(bool(f.any()) for f in want) == len(rows) - 1
+    got = {r.doc_id: r for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert [got[i].n_removed for i, _ in rows] == [int(f.sum()) for f in want]
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 26])
 def test_two_stage_order(alphabet):
     rng = np.random.default_rng(alphabet)

@@ -59,7 +59,7 @@ def window_hash(h: np.ndarray, n: int, size: int) -> np.ndarray:
 def chunks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(row, first start, number of starts, key, hash, several) of every chunk; starts count from the text's begin.
 
-    several: the key's gram occurs more than once in the chunk, which may repeat a string by itself.
+    several: two strings of the chunk are equal (by their hashes), so it repeats a string by itself.
     """
     n = len(data)
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
@@ -85,23 +85,32 @@ def chunks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     k = k[first]
     end = begin + count - 1 + length
     own = span_hash_of(h, begin, end)
-    # how often the key's gram occurs within the chunk
-    several = count > w
-    maybe = np.flatnonzero(~several)
-    hit = np.flatnonzero(g == _spread(k, begin, end - gram + 1, len(g)))
-    if len(hit):
-        c = np.searchsorted(hit, (end - gram + 1)[maybe]) - np.searchsorted(hit, begin[maybe])
-        several[maybe] = c > 1
+    # equal strings of a chunk hold its key's gram at two places: only such chunks are looked into
+    several = _gram_places(g, key, w, k, begin, end - gram) > 1
+    maybe = np.flatnonzero(several)
+    if len(maybe):
+        of = np.repeat(maybe, count[maybe])
+        whole = window_hash(h, n, length)[begin[of] + expand(count[maybe])]
+        order = np.lexsort((whole, of))
+        of, whole = of[order], whole[order]
+        several[maybe] = False
+        several[of[1:][(of[1:] == of[:-1]) & (whole[1:] == whole[:-1])]] = True
     return row[first], local[first], count, k, own, several
 
 
-def _spread(k: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    """Key of the last chunk that begins at or before each place (chunks overlap; a superset of hits is harmless)."""
-    out = np.zeros(n, np.uint64)
-    out[begin] = k
-    at = np.zeros(n, np.int64)
-    at[begin] = begin
-    return out[np.maximum.accumulate(at)]
+def _gram_places(g: np.ndarray, key: np.ndarray, w: int, k: np.ndarray, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """At how many places of [begin, last] the gram hash is k, for every chunk (chunks overlap).
+
+    key: the smallest of every w consecutive values of g. Only places whose gram is the key of a string that holds it
+    can count, which are few.
+    """
+    wide = np.full(len(key) + 2 * (w - 1), np.iinfo(np.uint64).max, np.uint64)
+    wide[w - 1 : w - 1 + len(key)] = ~key
+    hit = np.flatnonzero(g == ~sliding_min(wide, w))  # the largest key of the strings that hold the place
+    kinds, rank = np.unique(g[hit], return_inverse=True)
+    at = np.sort(rank * len(g) + hit)
+    of = np.searchsorted(kinds, k) * len(g)  # every k is the gram of a hit
+    return np.searchsorted(at, of + last, "right") - np.searchsorted(at, of + begin)
 
 
 def span_hash_of(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
