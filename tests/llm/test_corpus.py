@@ -248,6 +248,38 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in s if not r.predicted}
 
 
+def test_toxicity_continuation_counts(spark):
+    """Orders four and three by hand: how many different grams of order six or four end with each gram."""
+    docs, labels = toxic_corpus(spark)
+    model, _ = toxicity.train(docs, labels)
+    text = {r.doc_id: b"".join(b"\1" + w.encode() + b"\1" for w in sorted(set(r.text.split()))) for r in docs.collect()}
+    bad = {r.doc_id: r.toxic for r in labels.where("doc_id is not null and toxic is not null").collect()}
+    seen = {i for i in text if zlib.crc32(str(i).encode()) % 4 in (0, 1)}
+
+    def counts(ids, order, lower):
+        freq, left = collections.Counter(), collections.defaultdict(set)
+        for i in ids:
+            for w in re.findall(b"\1[^\1]+\1", text[i]):
+                for at in range(1, len(w)):
+                    low = w[max(0, at - lower + 1) : at + 1]
+                    freq[low] += 1
+                    left[low].add(w[max(0, at - order + 1) : at + 1])
+        return {g: freq[g] if g[:1] == b"\1" else len(left[g]) for g in freq}
+
+    def check(level, k, want):
+        total = collections.Counter()
+        for g, n in want.items():
+            total[g[:-1]] += n
+        d = toxicity._discount(np.array(list(want.values())))
+        for g, n in want.items():
+            h = toxicity.span_hash(toxicity.prefix_hash(np.frombuffer(g, np.uint8)), np.array([0]), np.array([len(g)]))
+            assert level.part[k][np.searchsorted(level.gram, h[0])] == pytest.approx(max(n - d, 0) / total[g[:-1]], abs=1e-6), g
+
+    check(model.shared, 0, counts(text, 4, 3))
+    for k in (0, 1):
+        check(model.levels[1], k, counts([i for i in seen if bad[i] == k], 6, 4))
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = toxic_corpus(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
