@@ -124,6 +124,17 @@ def test_phrases_odd_and_empty(spark, odd, none):
     assert phrases.contamination(odd, b).where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("block_words", [phrases.BLOCK_WORDS, 4])
+def test_phrases_search_every_row(spark, block_words):
+    """Rows without a doc_id and rows that share one: each comes back once with all its hits, and none passes clean()."""
+    b = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "one two")], "item_id long, text string")
+    d = frame(spark, [(None, "x alpha beta gamma delta y"), (None, "x y"), (None, None), (7, "alpha beta z"), (7, "zz top"), (8, "q"), (8, "q"), (None, "x y")])
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in phrases.contamination(d, b, block_words=block_words, window=2).collect())
+    assert got == sorted([("None", 6, 4, ["1", "2"]), ("None", 2, 0, []), ("None", 2, 0, []), ("None", 0, 0, []), ("7", 3, 2, ["1"]), ("7", 2, 0, []), ("8", 1, 0, []), ("8", 1, 0, [])])
+    kept = sorted((str(r.doc_id), str(r.text)) for r in phrases.clean(d, b, window=2).collect())
+    assert kept == sorted([("None", "x y"), ("None", "x y"), ("None", "None"), ("7", "zz top"), ("8", "q"), ("8", "q")])
+
+
 def test_order_minhash(spark, docs, rows):
     got = {r.doc_id: r for r in omh.compare(docs, parts=5).collect()}
     order = sorted(rows)

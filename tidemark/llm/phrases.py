@@ -12,8 +12,8 @@ within ``slop`` places of its own (proximity matches). Windows are sent to the s
 of words, one pass over the index per block, so the benchmark may be of any size.
 
 Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased. An item of fewer than
-``window`` words, but not none, is one window. Null texts have no words. Rows that share a doc_id are one document
-with the text that sorts last; items that share an item_id are one item with several texts; null ids are kept as null.
+``window`` words, but not none, is one window. Null texts have no words. Every row is a document of its own,
+also if doc_ids are shared or null; items that share an item_id are one item with several texts; null ids are kept as null.
 Extra columns are not read. Empty tables give empty or clean results.
 """
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, one_text_each, slices, stored, texts, words
+from .common import LOWER, slices, stored, texts, words
 from .repair import expand
 
 WINDOW = 10
@@ -38,9 +38,9 @@ _IN = np.zeros(256, bool)
 _IN[48:58] = _IN[97:123] = _IN[128:] = True
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The written index: docs, sizes (words of each), terms, counts, postings of every segment, as packed arrays."""
-    t = one_text_each(texts(docs))
+def build_index(t: DataFrame) -> DataFrame:
+    """The written index of the texts of ``t`` (key, text): docs (their keys), sizes (words of each), terms, counts,
+    postings of every segment, as packed arrays."""
 
     def segment(batches):
         import pyarrow as pa
@@ -56,11 +56,11 @@ def build_index(docs: DataFrame) -> DataFrame:
                 counts = np.diff(np.append(new, len(hs))).astype("<u4")
                 own = b.column(0).slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([own.to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (n.astype("<u4"), hs[new].astype("<u8"), counts, place[order].astype("<u4")))],
+                    [pa.array([own.to_pylist()], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (n.astype("<u4"), hs[new].astype("<u8"), counts, place[order].astype("<u4")))],
                     names=["docs", "sizes", "terms", "counts", "postings"],
                 )
 
-    return stored(t.mapInArrow(segment, "docs array<long>, sizes binary, terms binary, counts binary, postings binary"), "postings")
+    return stored(t.mapInArrow(segment, "docs array<string>, sizes binary, terms binary, counts binary, postings binary"), "postings")
 
 
 class Segment:
@@ -163,14 +163,22 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted strings), hit_spans (word start, end) of every document."""
-    spark = docs.sparkSession
-    index = build_index(docs)
+    """doc_id, n_words, n_hit, item_ids (sorted strings), hit_spans (word start, end) of every row of ``docs``."""
+    # a key of each row's own, settled when the index is written; the doc_id goes along in it
+    own = F.concat_ws(":", F.monotonically_increasing_id(), F.col("doc_id").cast("long"))
+    found = _found(texts(docs).select(own.alias("key"), "text"), items, window, slop, block_words)
+    return found.withColumn("key", F.get(F.split("key", ":"), F.lit(1)).cast("long")).withColumnRenamed("key", "doc_id")
+
+
+def _found(t: DataFrame, items: DataFrame, window: int, slop: int, block_words: int) -> DataFrame:
+    """key, n_words, item_ids, hit_spans, n_hit of the texts of ``t`` (key, text); rows of one key have equal texts."""
+    spark = t.sparkSession
+    index = build_index(t)
     wins = stored(item_windows(items, window), "windows")
     per = max(1, block_words // window)
     blocks = max(1, -(-wins.count() // per))
     wins = wins.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)))
-    schema = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    schema = "key string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     found = None
     for k in range(blocks):  # each holds a bounded number of windows
         own = wins.where(F.col("block") == k).select("item_id", "length", "terms").toArrow()
@@ -182,11 +190,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
         part = index.mapInArrow(_matcher(sent, slop), schema)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        g = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        known = g.where("doc_id is not null")
-        found = known.unionByName(found.where("doc_id is null"))
+        found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = _union_spans(F.col("spans")) if blocks > 1 else F.col("spans")
-    return found.select("doc_id", "n_words", F.array_sort("items").alias("item_ids"), merged.alias("hit_spans")).withColumn(
+    return found.select("key", "n_words", F.array_sort("items").alias("item_ids"), merged.alias("hit_spans")).withColumn(
         "n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
     )
 
@@ -221,7 +227,7 @@ def _matcher(sent, slop: int):
                     for d, i in set(zip(doc.tolist(), w.tolist())):
                         items[d].append(ids[i])
                     items = [sorted({x for x in xs if x is not None}) for xs in items]
-                yield pa.RecordBatch.from_arrays([pa.array(s.docs, pa.int64()), pa.array(s.sizes, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.docs, pa.string()), pa.array(s.sizes, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=["key", "n_words", "spans", "items"])
 
     return run
 
@@ -236,7 +242,9 @@ def _union_spans(spans):
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
-    hit = contamination(docs, items, window).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit.hint("merge"), docs["doc_id"] == F.col("__hit"), "left_anti")
+    # what a row holds is known by its text, whatever its doc_id
+    key = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
+    hit = _found(texts(docs).select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text"), items, window, 0, block_words).where("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
+    return docs.join(hit.hint("merge"), key == F.col("__hit"), "left_anti")
