@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,17 +36,26 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset one of our own, on a local master only."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share ({master})")
+    at = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
 def tabled(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the folder that the cluster shares and read it back.
 
     Stages that several features read are computed once, plans stay short, sizes are known to the optimizer, and a lost
-    executor costs a re-read. The folder is ``spark.checkpoint.dir``, or one of our own where it is unset.
+    executor costs a re-read.
     """
     spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
