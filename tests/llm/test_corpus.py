@@ -51,7 +51,7 @@ def test_near_duplicates(spark, rows):
         more.append((1000 + i, " ".join(w)))
     every = rows + more
     want = linked({i: shingle_set(t) for i, t in every})
-    for block in (768, 16):  # in one block, and over pairs of blocks
+    for block in (setsketch.BLOCK, 20_000, 4_000):  # in one block, and over pairs of blocks, with components of several
         got = {r.doc_id: r for r in setsketch.near_duplicates(frame(spark, every), block=block).collect()}
         for i, t in every:
             assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingle_set(t)), want[i], want[i] == i), i
@@ -281,14 +281,32 @@ def test_toxicity_continuation_counts(spark):
         total = collections.Counter()
         for g, n in want.items():
             total[g[:-1]] += n
-        d = toxicity._discount(np.array(list(want.values())))
+        d = toxicity._discount(sum(n == 1 for n in want.values()), sum(n == 2 for n in want.values()))
+        kinds = collections.Counter(g[:-1] for g in want)
+        as_number = lambda g: np.uint64(int.from_bytes(g, "little"))
+        assert len(level.gram) >= len(want)
         for g, n in want.items():
-            h = toxicity.span_hash(toxicity.prefix_hash(np.frombuffer(g, np.uint8)), np.array([0]), np.array([len(g)]))
-            assert level.part[k][np.searchsorted(level.gram, h[0])] == pytest.approx(max(n - d, 0) / total[g[:-1]], abs=1e-6), g
+            assert level.part[k][np.searchsorted(level.gram, as_number(g))] == pytest.approx(max(n - d, 0) / total[g[:-1]], abs=1e-6), g
+        for c, n in kinds.items():
+            assert level.lam[k][np.searchsorted(level.ctx, as_number(c))] == pytest.approx(d * n / total[c], abs=1e-6), c
 
     check(model.shared, 0, counts(text, 4, 3))
     for k in (0, 1):
-        check(model.levels[1], k, counts([i for i in seen if bad[i] == k], 6, 4))
+        own = [i for i in seen if bad[i] == k]
+        check(model.levels[1], k, counts(own, 6, 4))
+        freq = collections.Counter(w[max(0, at - 5) : at + 1] for i in own for w in re.findall(b"\1[^\1]+\1", text[i]) for at in range(1, len(w)))
+        check(model.levels[0], k, freq)
+    # beyond ``kept`` grams only the frequent ones are sent, and each context still sums to one
+    few, _ = toxicity.train(docs, labels, kept=300)
+    level = few.levels[0]
+    assert len(level.gram) <= 600 and len(level.gram) < len(model.levels[0].gram)
+    for k in (0, 1):
+        mass = collections.Counter()
+        for g, p in zip(level.gram.tolist(), level.part[k][:-1].tolist()):
+            size = (g.bit_length() + 7) // 8
+            mass[g & ((1 << (8 * (size - 1))) - 1)] += p
+        for c, p in mass.items():
+            assert level.lam[k][np.searchsorted(level.ctx, np.uint64(c))] == pytest.approx(1 - p, abs=1e-5)
 
 
 def test_toxicity_ignores_held_out_labels(spark):

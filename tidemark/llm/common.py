@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: Text handled at once inside a Python worker; bounds the numpy temporaries, not the texts (one text may exceed it).
 SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset one of our own, on a local master only."""
+    return shared_folder(spark)
 
 
 _scratch: dict[str, str] = {}
+_written = 0
+#: Bytes written between two collections of the driver's garbage.
+COLLECT = 16 << 20
+
+
+def _collect(spark: SparkSession, path: str) -> None:
+    """The shuffle files of what is now written go with the driver's garbage: not later than after COLLECT bytes."""
+    global _written
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    if _written >= COLLECT:
+        _written = 0
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
@@ -36,9 +46,7 @@ def stored(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # the shuffle files of what is now written go with the driver's garbage: not later than this
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect(spark, path)
     if scratch:
         _scratch[path] = spark.sparkContext.applicationId
     back = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +69,14 @@ def release(spark: SparkSession) -> None:
     drop(spark, *[p for p, app in _scratch.items() if app == own])
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, or the first longer one that is no column of the frames (in any case)."""
+    have = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,19 +100,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star steps: each is one shuffle of at most the edge count, and no node
-    gathers its component. Every step is a table in the shared folder. Self-loops keep single nodes.
+    gathers its component. The joins are on a key that the minima are not dealt by, so both sides are dealt for the join
+    alone and adaptive execution can split a hub. Every step is a table in the shared folder. Self-loops keep single nodes.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(both, "cc")
     for _ in range(rounds):
         # large star: every neighbour above u goes to the smallest node around u
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("w"), F.least("u", "m").alias("m"))
+        large = sym.withColumn("w", F.bitwise_not("u")).join(low, "w").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(now.where("u = v")).distinct()
         # small star: u and its lower neighbours go to the lowest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("w"), "m")
+        small = large.withColumn("w", F.bitwise_not("u")).join(low, "w").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
         new = stored(small, "cc")
         same = not _differ(now, new)
         drop(edges.sparkSession, now._tidemark_path)
@@ -143,16 +160,52 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of (byte + 1) * P^position over [i, j), modulo 2^64; length len(data) + 1."""
+    """H with H[j] - H[i] = sum of (byte + 1) * P^position over [i, j), modulo 2^64; length len(data) + 1.
+
+    For windows of a fixed length that meet in sorting and are compared byte by byte afterwards; see ``digests`` for
+    hashes that stand for the bytes."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0], out=out[1:])
     return out
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each [start, end), the same wherever the bytes stand."""
-    return mix((h[end] - h[start]) * _powers(len(h))[1][start] + (end - start).astype(np.uint64) * _M1)
+#: Spans beyond this many bytes are hashed one by one.
+LONG = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, both: bool = False):
+    """64-bit hashes of the bytes of each [start, end), not empty; with ``both`` a pair of them, 128 bits together.
+
+    Eight bytes at a time are folded in and mixed, so no string has an algebraic twin. The pair is exact for spans of
+    up to eight bytes: the bytes themselves, and a hash that holds the length.
+    """
+    size = end - start
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=held.data, strides=(1,))
+    x = lanes[start] & _KEEP[np.minimum(size, 8)]
+    h = mix(x ^ (size.astype(np.uint64) * _M1))
+    g = x.copy() if both else None
+    left = np.flatnonzero(size > 8)
+    if len(left):
+        big = left[size[left] > LONG]
+        left = left[size[left] <= LONG]
+        k = 8
+        while len(left):
+            x = lanes[start[left] + k] & _KEEP[np.minimum(size[left] - k, 8)]
+            h[left] = mix((h[left] * _P) ^ x)
+            if both:
+                g[left] = mix((g[left] + x) * _M2)
+            k += 8
+            left = left[size[left] > k]
+        for i, a, z in zip(big.tolist(), start[big].tolist(), end[big].tolist()):
+            own = np.frombuffer(blake2b(data[a:z].tobytes(), digest_size=16).digest(), "<u8")
+            h[i] = own[0]
+            if both:
+                g[i] = own[1]
+    return (h, g) if both else h
 
 
 def slices(column, size: int = 0) -> "list[tuple[int, int, np.ndarray, np.ndarray]]":
@@ -191,7 +244,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray, inside: np.n
     if len(data):
         after[:-1] = isin[1:]
     end = np.flatnonzero(isin & (~after | edge[1:])) + 1
-    h = span_hash(prefix_hash(data), start, end)
+    h = digests(data, start, end)
     row = np.searchsorted(offsets, start, "right") - 1
     return (row, h, start, end) if spans else (row, h)
 

@@ -3,17 +3,19 @@
 A shard is one binary value: a header, the rules (left, right, expansion length of every nonterminal), the start of
 each document in the compressed sequence and in the ids, the doc_ids and the compressed sequence. Rules never cross
 documents, so one document is decoded from its own slice. Shards are rows of a table that Spark writes and reads in
-the shared folder, ordered by (bucket, seq); ids run in ascending doc_id order, null doc_ids first, rows of one
-doc_id by their ids.
+the shared folder; its files, and the shards in them, follow each other by (bucket, seq), and ids run in ascending
+doc_id order, null doc_ids first. Rows without a doc_id, or of one doc_id that fills several ranges, follow each other
+in no set order.
 
 Each round counts adjacent pairs, takes the frequent ones in descending order as long as no id would be the left part
 of one pair and the right part of another, and replaces all their occurrences from left to right (every second one in
-a run of equal ids). Null texts are empty and hold the end id only. Rows that repeat are written each. Extra columns
-are not read; an empty table gives an empty table.
+a run of equal ids). Rounds go on until no pair inside a document occurs ``min_count`` times. Null texts are empty and
+hold the end id only. Rows that repeat are written each. Extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -21,13 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, prefix_hash, slices, span_hash, stored, texts
+from .common import LOWER, digests, slices, stored, texts
 
-MAGIC = b"TMRP1\0"
+MAGIC = b"TMRP2\0"
 SHARD_TOKENS = 1_500_000
-CACHE_WORDS = 1_200_000
-#: Rules of one round of replacement, and rounds; with both, symbols of a 49k vocabulary stay below 2^16.
-ROUND_RULES, ROUNDS = 4_000, 4
+#: Pieces a worker keeps, and the places of their table.
+CACHE_WORDS, _PLACES = 1_000_000, 1 << 22
+#: A pair is frequent from this count in a shard on.
+MIN_COUNT = 8
 _BITS = 20
 _loaded: dict[str, tuple] = {}
 
@@ -36,11 +39,12 @@ _loaded: dict[str, tuple] = {}
 
 
 class WordCoder:
-    """Encodes by the tokenizers library, each distinct word once while it stays in a bounded cache.
+    """Encodes by the tokenizers library, each distinct piece once while it stays in a bounded cache.
 
-    Texts are cut at ASCII white space, which the tokenizer drops, and between an ASCII letter or digit and ASCII
-    punctuation other than the apostrophe, where its splitting pattern always ends a match; A-Z are lower-cased as its
-    normaliser would. A text's ids are those of its pieces in order. Pieces are told apart by 64-bit hashes.
+    Texts are cut at ASCII white space, which the tokenizer drops, and between letters (ASCII and U+00C0 to U+00FF), ASCII
+    digits and ASCII punctuation other than the apostrophe, where its splitting pattern always ends a match; A-Z are
+    lower-cased as its normaliser would. A text's ids are those of its pieces in order. The strings of special tokens, which the library looks for in
+    the text as written, are pieces of their own. Pieces are told apart by 128 bits (see ``digests``).
     """
 
     def __init__(self, path: str):
@@ -50,73 +54,142 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.of.encode_special_tokens = True
+        self.of.encode_special_tokens = True  # their strings never reach it as such
+        added = {t.content.encode(): i for i, t in self.of.get_added_tokens_decoder().items()}
+        self.special = sorted(added, key=len, reverse=True)
+        self.special_id = [added[x] for x in self.special]
+        self.pattern = re.compile(b"|".join(map(re.escape, self.special))) if added else None
+        tokenize = self.of.model.tokenize
+        self.digit = {c: [t.id for t in tokenize(chr(c))] for c in range(48, 58)}
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.begin = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
-
-    def learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
-        model, full = self.of.model, self.of.encode
-        ids = [[t.id for t in model.tokenize(w.decode())] if w.isalpha() and w.isascii() else full(w.decode(), add_special_tokens=False).ids for w in new]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.pool) + np.cumsum(lens) - lens
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))])
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.begin, begin), (self.size, lens)))
+        self.place = np.full(_PLACES, -1, np.int32)
+        self.n, self.n_pool = 0, 0
+        self.h, self.g = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint64)
+        self.first, self.size, self.begin = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.pool = np.empty(1 << 16, np.uint32)
+
+    def _ids(self, w: bytes) -> list[int]:
+        if w[0] >= _SPECIAL:
+            return [self.special_id[w[0] - _SPECIAL]]
+        if w.isascii():
+            if w.isalpha() or _PUNCT.issuperset(w):
+                return [t.id for t in self.of.model.tokenize(w.decode())]
+            if w.isdigit():
+                return [i for c in w for i in self.digit[c]]
+        elif (x := w.decode()).isalpha() and max(x) <= "\xff":
+            return [t.id for t in self.of.model.tokenize(x.lower().encode().decode("latin-1").translate(_SHOWN))]
+        return self.of.encode(w.decode(), add_special_tokens=False).ids
+
+    def learn(self, h: np.ndarray, g: np.ndarray, new: list[bytes]) -> None:
+        ids = list(map(self._ids, new))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        begin = np.cumsum(size) - size
+        entry = np.arange(self.n, self.n + len(ids))
+        first = np.zeros(len(ids), np.uint32)
+        first[size > 0] = flat[begin[size > 0]]
+        for name, x in (("h", h), ("g", g), ("first", first), ("size", size), ("begin", begin + self.n_pool)):
+            setattr(self, name, _put(getattr(self, name), self.n, x))
+        self.pool = _put(self.pool, self.n_pool, flat)
+        self.n, self.n_pool = self.n + len(ids), self.n_pool + len(flat)
+        at = (h >> np.uint64(40)).astype(np.int64) & (_PLACES - 1)
+        while len(entry):  # the first of those that want a free place gets it, the rest go on to the next one
+            free = np.flatnonzero(self.place[at] < 0)
+            self.place[at[free[::-1]]] = entry[free[::-1]]
+            left = self.place[at] != entry
+            entry, at = entry[left], (at[left] + 1) & (_PLACES - 1)
+
+    def look_up(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Entry of each piece, -1 where it is not known."""
+        at = (h >> np.uint64(40)).astype(np.int64) & (_PLACES - 1)
+        out = self.place[at]
+        todo = np.flatnonzero((out >= 0) & ((self.h[out] != h) | (self.g[out] != g)))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (_PLACES - 1)
+            e = out[todo] = self.place[at[todo]]
+            todo = todo[(e >= 0) & ((self.h[e] != h[todo]) | (self.g[e] != g[todo]))]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end id after each text, number of ids of each text) of concatenated texts."""
-        data = LOWER[data]
-        kind = _KIND[data]
+        low = LOWER[data]
+        kind = _KIND[low]
+        at = np.flatnonzero(low == 0xC3)  # the letters from U+00C0 to U+00FF are letters like the ASCII ones
+        at = at[(low[at + 1] != 0x97) & (low[at + 1] != 0xB7)]
+        kind[at] = kind[at + 1] = 1
+        self._mark_special(data, offsets, low, kind)
         n = len(offsets) - 1
-        start = kind > 0
         if len(data):
-            turn = _TURN[kind[:-1], kind[1:]]
-            edge = np.zeros(len(data) + 1, bool)
-            edge[offsets[:-1]] = True
-            stop = np.empty(len(data), bool)
-            stop[:-1] = (kind[:-1] > 0) & (turn | edge[1:-1])
-            stop[-1] = kind[-1] > 0
-            start[1:] &= turn | edge[1:-1]
-            first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+            cut = np.empty(len(data) + 1, bool)
+            cut[0] = cut[-1] = True
+            cut[1:-1] = _TURN[(kind[:-1] << 3) | kind[1:]]
+            cut[offsets] = True
+            first = np.flatnonzero(cut)
+            end = first[1:]
+            first = first[:-1]
+            full = kind[first] > 0
+            first, end = first[full], end[full]
         else:
             first = end = np.empty(0, np.int64)
-        h = span_hash(prefix_hash(data), first, end)
-        uniq, where, index = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > CACHE_WORDS:
-            self.clear()
-        at = np.searchsorted(self.known, uniq)
-        new = np.ones(len(uniq), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != uniq
-        if new.any():
-            raw = data.tobytes()
-            w = where[new]
-            self.learn(uniq[new], [raw[i:j] for i, j in zip(first[w].tolist(), end[w].tolist())])
-            at = np.searchsorted(self.known, uniq)
-        index = at[index] if len(uniq) else np.empty(0, np.int64)
-        lens = self.size[index]
-        row = np.searchsorted(offsets, first, "right") - 1
-        total = np.concatenate([[0], np.cumsum(lens)])
-        ends = np.cumsum(np.bincount(row, minlength=n))
-        per = total[ends] - np.concatenate([[0], total[ends[:-1]]]) + 1 if n else np.empty(0, np.int64)
+        h, g = digests(low, first, end, both=True)
+        entry = self.look_up(h, g)
+        while len(new := np.flatnonzero(entry < 0)):
+            _, where = np.unique(h[new], return_index=True)
+            if self.n and self.n + len(where) > CACHE_WORDS:
+                self.clear()
+                entry[:] = -1
+                continue
+            w = new[where]
+            raw = low.tobytes()
+            self.learn(h[w], g[w], [raw[i:j] for i, j in zip(first[w].tolist(), end[w].tolist())])
+            entry[new] = self.look_up(h[new], g[new])
+        size = self.size[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        count = np.searchsorted(first, offsets)  # pieces before each text
+        per = np.diff(total[count]) + 1
         out = np.full(int(per.sum()), end_id, np.uint32)
-        where = expand(lens)
-        out[np.repeat(total[:-1] + row, lens) + where] = self.pool[np.repeat(self.begin[index], lens) + where]
+        pos = total[:-1] + np.repeat(np.arange(n), np.diff(count))
+        one = size == 1
+        out[pos[one]] = self.first[entry[one]]
+        many = np.flatnonzero(size > 1)
+        where = expand(size[many])
+        out[np.repeat(pos[many], size[many]) + where] = self.pool[np.repeat(self.begin[entry[many]], size[many]) + where]
         return out, per
 
-
-#: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation but the apostrophe, 3 anything else.
-_KIND = np.full(256, 3, np.uint8)
+    def _mark_special(self, data: np.ndarray, offsets: np.ndarray, low: np.ndarray, kind: np.ndarray) -> None:
+        """Write the strings of special tokens over with bytes that no text has, in turn of two kinds."""
+        raw = data.tobytes()
+        if self.pattern is None or not any(x in raw for x in self.special):
+            return
+        for k, m in enumerate(self.pattern.finditer(raw)):
+            a, z = m.span()
+            if np.searchsorted(offsets, a, "right") == np.searchsorted(offsets, z, "left"):  # inside one text
+                low[a:z] = _SPECIAL + self.special.index(m[0])
+                kind[a:z] = 4 + k % 2
+
+
+def _put(x: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``x`` with ``new`` from place n on, grown by doubling."""
+    if n + len(new) > len(x):
+        x = np.concatenate([x[:n], np.empty(max(n, len(new)) + len(new), x.dtype)])
+    x[n : n + len(new)] = new
+    return x
+
+
+#: The first byte value that UTF-8 never has.
+_SPECIAL = 0xF8
+#: How byte-level tokens write the bytes that are not printable in Latin-1.
+_SHOWN = {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if not (33 <= c < 127 or 161 <= c < 173 or c >= 174))}
+#: 0 white space, 1 letters, 2 ASCII digits, 3 ASCII punctuation but the apostrophe, 4 and 5 special tokens, 7 anything else.
+_KIND = np.full(256, 7, np.uint8)
 _KIND[[32, 9, 10, 13]] = 0
-_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = 1
-_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
-_TURN = np.zeros((4, 4), bool)
-_TURN[0, 1:] = _TURN[1:, 0] = _TURN[1, 2] = _TURN[2, 1] = True
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_PUNCT = frozenset(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_KIND[list(_PUNCT)] = 3
+_TURN = np.array([[a != b and (7 not in (a, b) or not {a, b}.isdisjoint({0, 4, 5})) for b in range(8)] for a in range(8)]).ravel()
 
 
 def expand(lens: np.ndarray) -> np.ndarray:
@@ -130,16 +203,15 @@ def expand(lens: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int = 8, max_rounds: int = ROUNDS, round_rules: int = ROUND_RULES):
-    """(sequence, starts of documents in it, left, right): the grammar of a shard. Nonterminals are base, base + 1, ..."""
+def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int = MIN_COUNT):
+    """(sequence, starts of documents in it, left, right): the grammar of a shard. Nonterminals are base, base + 1, ...
+    No pair inside a document is left that occurs ``min_count`` times."""
     x = ids.astype(np.uint32)
     starts = doc_starts.copy()
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     nxt = base
-    for _ in range(max_rounds):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         slot = _slots(x[:-1], x[1:])
         inner = starts[(starts > 0) & (starts < len(x))]
         slot[inner - 1] = 0  # no pair across documents; slot 0 is not used
@@ -159,11 +231,10 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
         order = np.argsort(-n, kind="stable")
         uniq = uniq[order]
         lhs, rhs = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        role = np.zeros(nxt, np.int8)
-        taken = np.zeros(1 << _BITS, bool)
+        role, taken = bytearray(nxt), bytearray(1 << _BITS)
         slots = _slots(lhs.astype(np.uint32), rhs.astype(np.uint32))
         picked = []
-        for k, (a, b, s) in enumerate(zip(lhs[: 8 * round_rules].tolist(), rhs[: 8 * round_rules].tolist(), slots[: 8 * round_rules].tolist())):
+        for k, (a, b, s) in enumerate(zip(lhs.tolist(), rhs.tolist(), slots.tolist())):
             if taken[s] or role[a] == 2 or role[b] == 1 or (a == b and role[a]):
                 continue
             if a == b:
@@ -172,10 +243,8 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, base: int, min_count: int
                 continue
             else:
                 role[a], role[b] = 1, 2
-            taken[s] = True
+            taken[s] = 1
             picked.append(k)
-            if len(picked) == round_rules:
-                break
         if not picked:
             break
         picked = np.array(picked)
@@ -221,9 +290,12 @@ def pack(doc_ids: list, ids: np.ndarray, per: np.ndarray, base: int) -> bytes:
     seq, at, left, right = compress(ids, starts, base)
     known = np.array([x is not None for x in doc_ids], np.uint8)
     nums = np.array([x if x is not None else 0 for x in doc_ids], np.int64)
-    parts = [left.astype("<u4"), right.astype("<u4"), lengths(left, right, base).astype("<u4"), at.astype("<i8"), starts.astype("<i8"), known, nums.astype("<i8"), seq.astype("<u2") if base + len(left) <= 1 << 16 else seq.astype("<u4")]
-    blobs = [zlib.compress(p.tobytes(), 1) if k < 7 else p.tobytes() for k, p in enumerate(parts)]
-    return MAGIC + struct.pack("<IBII8Q", base, parts[7].dtype.itemsize, len(per), len(left), *map(len, blobs)) + b"".join(blobs)
+    parts = [left.astype("<u4"), right.astype("<u4"), lengths(left, right, base).astype("<u4"), at.astype("<i8"), starts.astype("<i8"), known, nums.astype("<i8")]
+    # the sequence: sixteen bits a symbol, and a plane for each further bit that the symbols need
+    planes = max(0, (base + len(left) - 1).bit_length() - 16)
+    blobs = [zlib.compress(p.tobytes(), 1) for p in parts]
+    blobs += [seq.astype("<u2").tobytes(), b"".join(np.packbits((seq >> (16 + k)).astype(np.uint8) & 1).tobytes() for k in range(planes))]
+    return MAGIC + struct.pack("<IBII9Q", base, planes, len(per), len(left), *map(len, blobs)) + b"".join(blobs)
 
 
 class Shard:
@@ -232,15 +304,19 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard")
-        head = struct.calcsize("<IBII8Q")
-        self.base, width, self.n, _, *sizes = struct.unpack_from("<IBII8Q", blob, len(MAGIC))
+        head = struct.calcsize("<IBII9Q")
+        self.base, planes, self.n, _, *sizes = struct.unpack_from("<IBII9Q", blob, len(MAGIC))
         pos, parts = len(MAGIC) + head, []
         for k, s in enumerate(sizes):
             raw = blob[pos : pos + s]
             parts.append(zlib.decompress(raw) if k < 7 else raw)
             pos += s
-        kinds = ["<u4", "<u4", "<u4", "<i8", "<i8", "u1", "<i8", f"<u{width}"]
-        self.left, self.right, self.lens, self.at, self.starts, known, nums, self.seq = (np.frombuffer(p, k) for p, k in zip(parts, kinds))
+        kinds = ["<u4", "<u4", "<u4", "<i8", "<i8", "u1", "<i8", "<u2", "u1"]
+        self.left, self.right, self.lens, self.at, self.starts, known, nums, low, high = (np.frombuffer(p, k) for p, k in zip(parts, kinds))
+        self.seq = low.astype(np.uint32)
+        for k in range(planes):
+            width = len(high) // planes
+            self.seq |= np.unpackbits(high[k * width : (k + 1) * width], count=len(low)).astype(np.uint32) << np.uint32(16 + k)
         self.doc_ids = [int(x) if k else None for x, k in zip(nums, known)]
         self._pool: np.ndarray | None = None
 
@@ -292,14 +368,18 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocab: int = 49_40
     """Encode, order by doc_id and write the shards; returns the written table (bucket, seq, n_docs, n_tokens, payload).
 
     Ids are dealt by doc_id into ranges found from the doc_ids alone, so the texts are encoded once and only ids, not
-    texts, are shuffled.
+    texts, are shuffled. Rows without a doc_id are dealt over as many ranges as their share; a doc_id that fills several
+    ranges is dealt over these.
     """
     spark = docs.sparkSession
     t = texts(docs)
     t = t.select(t["doc_id"].cast("long").alias("doc_id"), "text")
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = t.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    rows, known = t.agg(F.count("*"), F.count("doc_id")).first()
+    blank = -(-n * (rows - known) // rows) if rows > known else 0
+    ranges = max(1, n - blank)
+    cuts = t.where("doc_id is not null").select("doc_id").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 and known else []
+    cuts = sorted(int(c) for c in cuts)
     wide = vocab > 1 << 16
 
     def ids_of(batches):
@@ -308,19 +388,26 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, vocab: int = 49_40
         if path not in _loaded:
             _loaded[path] = WordCoder(path)
         coder = _loaded[path]
-        at = np.array(cuts, np.int64)
+        at, done = np.array(cuts, np.int64), 0
         for b in batches:
             for first, last, data, off in slices(b.column(1), 2 << 20):
                 own = b.column(0).slice(first, last - first)
                 flat, per = coder.encode(data, off, end_id)
                 raw = flat.astype("<u4" if wide else "<u2")
-                ends = np.cumsum(per)
-                blobs = [raw[e - p : e].tobytes() for e, p in zip(ends.tolist(), per.tolist())]
-                bucket = [-1 if x is None else int(np.searchsorted(at, x, "right")) for x in own.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), own, pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "ids"])
+                ends = np.concatenate([[0], np.cumsum(per)]) * raw.itemsize
+                blobs = pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                ids = own.fill_null(0).to_numpy(zero_copy_only=False)
+                turn = np.arange(done, done + len(per))
+                done += len(per)
+                low, high = np.searchsorted(at, ids, "left"), np.searchsorted(at, ids, "right")
+                bucket = blank + np.where(high - low > 1, low + 1 + turn % np.maximum(high - low, 1), high)
+                if own.null_count:
+                    bucket = np.where(own.is_null().to_numpy(zero_copy_only=False), turn % max(blank, 1), bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), own, blobs], names=["bucket", "doc_id", "ids"])
 
     coded = t.mapInArrow(ids_of, "bucket int, doc_id long, ids binary")
-    dealt = coded.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    # by the bucket itself, so the files follow each other in its order
+    dealt = coded.repartitionById(blank + ranges, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
 
     def shards_of(batches):
         import pyarrow as pa
