@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stored, texts, words
+from .common import LOWER, free_name, slices, stored, texts, words
 from .repair import expand
 
 WINDOW = 10
@@ -188,6 +188,9 @@ def _found(t: DataFrame, items: DataFrame, window: int, slop: int, block_words:
             terms[i, : len(x) // 8] = np.frombuffer(x, "<u8")
         sent = spark.sparkContext.broadcast(pickle.dumps((own.column("item_id").to_pylist(), lens, terms)))
         part = index.mapInArrow(_matcher(sent, slop), schema)
+        if blocks > 1:  # a block is done before the next one comes to the driver
+            part = stored(part.where(F.size("spans") > 0) if k else part, "hits")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -246,5 +249,6 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     # what a row holds is known by its text, whatever its doc_id
     key = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)
-    hit = _found(texts(docs).select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text"), items, window, 0, block_words).where("n_hit > 0").select(F.col("key").alias("__hit")).distinct()
-    return docs.join(hit.hint("merge"), key == F.col("__hit"), "left_anti")
+    name = free_name("hit", docs)
+    hit = _found(texts(docs).select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text"), items, window, 0, block_words).where("n_hit > 0").select(F.col("key").alias(name)).distinct()
+    return docs.join(stored(hit, "hit").hint("merge"), key == F.col(name), "left_anti")

@@ -3,14 +3,18 @@
 Base spans are the leftmost non-overlapping matches of four kinds (see ``BASE``): email, ip (parts at most 255), card
 (13 to 19 digits that pass Luhn), phone (9 to 15 digits).
 
-Information-theoretic sanitisation adds spans of kind ``term``. The entities to protect are the base values. A term is
-a word within ``reach`` code points of an occurrence. From document counts over the whole corpus, entity c has the
-information IC(c) = -log p(c) and term t discloses PMI(c, t) = log p(c, t) / (p(c) p(t)) of it, p(c, t) being the share
-of documents where t is near c. A term with PMI / IC of at least ``generalise`` is replaced by its category, with at
-least ``remove`` it is removed. A pair counts once it is seen in ``support`` documents.
-
-The base spans, entities and terms of all documents are written once; counting pairs and words are plain aggregations
-with partial sums, and a very frequent entity or term is one row after them.
+Information-theoretic sanitisation adds spans of kind ``term``. The entities to protect are the base values; the terms are
+the words that overlap no base span. From document counts over the whole corpus, entity c has the information
+IC(c) = -log p(c) and term t discloses PMI(c, t) = log p(c, t) / (p(c) p(t)) of it, p(c, t) being the share of documents
+that hold both, anywhere. A term with PMI / IC of at least ``generalise`` for any entity is replaced by its category
+wherever it stands, in all documents; with at least ``remove`` it is removed. A pair counts once it is seen in ``support``
+documents.
+
+Entities that stand in the same documents have the same counts with every term, and so have such terms, so both are
+counted as classes of equal document sets (told apart by 128 bits over their documents): copies of a long text with
+many entities and words give one pair, not their product. Only pairs whose frequencies alone allow the threshold are
+counted. Counts are plain aggregations with partial sums, held in written tables, so a very frequent entity or term is
+one row of them and the joins with them can be split.
 
 Null texts are empty. Every row is a document of its own, also if rows repeat or doc_ids are shared or null. Extra
 columns are not read. An empty table gives an empty table; without entities there are no terms.
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import stored
+from .common import drop, stored
 
 #: Kinds and patterns, in the order they are listed.
 BASE = {
@@ -38,7 +42,7 @@ _FAST = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": BASE["phone"],
 }
-REACH, SUPPORT, GENERALISE, REMOVE = 40, 2, 0.8, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
 _WORD = r"[\p{L}][\p{L}\p{N}'-]{2,}+"
 
 
@@ -75,60 +79,53 @@ def base_spans(text: Column) -> Column:
     )
 
 
-_TERM = "array<struct<kind:string,value:string,term:string,word:string,start:int,end:int>>"
-
-
-def _near(text: Column, base: Column, reach: int) -> Column:
-    """The words near each base span that overlap no base span, whole words only."""
-
-    def words(b: Column) -> Column:
-        def side(window: Column, at: Column, first: bool) -> Column:
-            found = S.matches(window, "term", _WORD, F.lit(True), lambda s: F.lit(True))
-            cut = (lambda s: (s["start"] > 0) | (at == 0)) if first else (lambda s: s["end"] < reach)
-            # a word that the window's edge may have cut is left out
-            return F.transform(F.filter(found, cut), lambda s: F.struct(b["kind"].alias("kind"), b["value"].alias("value"), F.lower(s["value"]).alias("term"), s["value"].alias("word"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
-
-        low = F.greatest(b["start"] - reach, F.lit(0))
-        before = S.let(F.substr(text, low + 1, b["start"] - low), lambda w: side(w, low, True))
-        after = S.let(F.substr(text, b["end"] + 1, F.lit(reach)), lambda w: side(w, b["end"], False))
-        return F.concat(before, after)
-
-    return S.apart(F.flatten(F.transform(base, words)), base)
-
-
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The written table (row, doc_id, base, near) of all documents."""
-    t = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    t = t.withColumn("base", base_spans(F.col("text")))
-    none = F.array().cast(_TERM)
-    t = t.withColumn("near", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), reach)).otherwise(none))
-    return stored(t.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "near"), "pii")
-
-
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(kind, value, term, share): pairs of entity and term whose disclosure PMI / IC is at least ``least``."""
-    total = found.agg(F.count("*").alias("n_docs"))
-    entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"))))).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
-    pair = found.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["value"].alias("value"), t["term"].alias("term"))))).alias("p")).groupBy("p.kind", "p.value", "p.term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(docs["text"], F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = total.first()["n_docs"]
-    p = pair.join(entity, ["kind", "value"]).join(words, "term")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
+def _words(text: Column, base: Column) -> Column:
+    """The words of a text that overlap no base span, as spans."""
+    return S.apart(S.matches(text, "term", _WORD, F.lit(True), lambda s: F.lit(True)), base)
+
+
+def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (row, doc_id, text, base) of all documents, and their different terms (row, term)."""
+    t = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    found = stored(t.withColumn("base", base_spans(F.col("text"))), "pii")
+    plain = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    own = F.when(F.size("base") > 0, F.transform(_words(F.col("text"), F.col("base")), lambda s: s["value"])).otherwise(plain)
+    return found, stored(found.select("row", F.explode(F.array_distinct(F.transform(own, lambda w: F.lower(w)))).alias("term")), "terms")
+
+
+def disclosures(found: DataFrame, words: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(term, share): the terms whose disclosure PMI / IC is at least ``least`` for an entity, and the largest share."""
+    n = float(max(found.count(), 1))
+    # the documents of an entity or term, as 128 bits
+    set_of = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"set{k}") for k in (0, 1)]
+    each = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"))))).alias("e"))
+    entity = stored(each.groupBy("e").agg(F.count("*").alias("n_entity"), *set_of).where(F.col("n_entity") >= support), "entities")
+    term = stored(words.groupBy("term").agg(F.count("*").alias("n_term"), *set_of).where(F.col("n_term") >= support), "counts")
+    held = each.join(entity, "e").select("row", F.struct("set0", "set1").alias("c"), "n_entity").distinct()
+    held = stored(held, "held")
+    may = words.join(held.select("row").distinct().hint("merge"), "row", "left_semi").join(term, "term").select("row", F.struct("set0", "set1").alias("t"), "n_term").distinct()
+    # n_pair is n_entity at most, so only these can reach the threshold
+    can = F.log(F.col("n_term")) <= F.log(F.col("n_entity")) + (1 - least) * (F.log(F.lit(n)) - F.log(F.col("n_entity"))) + 1e-9
+    pair = may.join(held, "row").where(can).groupBy("c", "t").agg(F.count("*").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_pair") >= support)
+    pmi = F.log(F.lit(n) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
+    ic = F.log(F.lit(n) / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
-    return p.select("kind", "value", "term", share.alias("share")).where(F.col("share") >= least)
+    best = stored(pair.groupBy("t").agg(F.max(share).alias("share")).where(F.col("share") >= least), "best")
+    out = stored(term.join(best, (F.col("set0") == F.col("t.set0")) & (F.col("set1") == F.col("t.set1"))).select("term", "share"), "disclosures")
+    drop(found.sparkSession, *(x._tidemark_path for x in (entity, term, held, best)))
+    return out
 
 
-def all_spans(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def all_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(row, doc_id, base, terms): terms as (start, end, word, action), by start; none overlaps a base span."""
-    found = find(docs, reach)
-    d = disclosures(docs, found, support, generalise)
-    near = found.select("row", F.explode("near").alias("t")).select("row", "t.*")
-    hit = near.join(d, ["kind", "value", "term"]).groupBy("row", "start", "end", "word").agg(F.max("share").alias("share"))
+    found, words = find(docs)
+    d = disclosures(found, words, support, generalise)
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    terms = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", action.alias("action")))).alias("terms"))
+    hit = words.join(d, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("told"))
+    at = F.filter(_words(F.col("text"), F.col("base")), lambda s: F.map_contains_key("told", F.lower(s["value"])))
+    terms = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("word"), F.element_at("told", F.lower(s["value"])).alias("action")))
     none = F.array().cast("array<struct<start:int,end:int,word:string,action:string>>")
-    return found.select("row", "doc_id", "base").join(terms, "row", "left").select("row", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return found.join(hit, "row", "left").select("row", "doc_id", "base", F.when(F.col("told").isNotNull(), terms).otherwise(none).alias("terms"))
 
 
 def category(word: Column) -> Column:
@@ -143,13 +140,4 @@ def sanitise(text: Column, base: Column, terms: Column) -> Column:
         F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), b["kind"], F.lit("]")).alias("put"))),
         F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["action"] == "remove", "").otherwise(category(t["word"])).alias("put"))),
     )
-    kind = "struct<at:int,out:array<string>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, s["put"])).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), inside).otherwise(new)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    return F.aggregate(F.array_sort(put), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return S.replaced(text, put)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import free_name
 
 #: Kinds and patterns.
 BASE = {
@@ -68,11 +69,14 @@ def train(samples: DataFrame) -> list[float]:
 
 def samples(docs: DataFrame, most: int = 2_000, strings: int = 20_000) -> DataFrame:
     """Labelled samples: random strings (digests written in hexadecimal and base 64), and as ordinary identifiers those
-    that stand in at least two texts of a bounded number of documents (those with the smallest hashes of their ids)."""
+    that stand in at least two texts of a bounded number of documents (those with the smallest hashes of their ids; rows
+    without a doc_id are not sampled)."""
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     odd = spark.range(0, strings, 1, 4).select(F.when(F.col("id") % 4 == 0, F.lower(F.hex(digest))).otherwise(F.base64(digest)).alias("value"), F.lit(True).alias("random"))
-    few = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # the ids first, a bounded number of them, then the texts where they are
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(most)
+    few = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("id"), "left_semi").select(docs["text"].cast("string").alias("text"))
     # what stands in two different texts is not random
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_][A-Za-z0-9_-]{2,}+"), F.lit(0)))
     plain = few.where("text is not null").select("text").distinct().select(F.explode(found).alias("value")).groupBy("value").count().where("count > 1")
@@ -97,17 +101,6 @@ def scan(docs: DataFrame, model: list[float], least: int = LEAST, threshold: flo
 
 def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one."""
-    cols = docs.columns
-    d = scan(docs, model, names=("__base", "__markov"))
-    every = F.array_sort(F.transform(F.concat("__base", "__markov"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    kind = "struct<at:int,out:array<string>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(mark))).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), inside).otherwise(new)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    done = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1)))
-    return d.withColumn("text", F.when(F.size(F.concat("__base", "__markov")) > 0, done).otherwise(F.col("text"))).select(*cols)
+    names = free_name("base", docs), free_name("markov", docs)
+    every = F.transform(F.concat(*names), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("put")))
+    return scan(docs, model, names=names).withColumn("text", S.replaced(F.col("text"), every)).select(*docs.columns)
