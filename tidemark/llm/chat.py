@@ -2,8 +2,8 @@
 
 A message is a row of (conversation, turn, role, parts); a part is a struct of type, text, ref, width, height,
 seconds, pages. The visitor keeps parts in order: texts are escaped, an image, audio clip or document becomes a
-placeholder ``<|image|>``, ``<|audio|>`` or ``<|document|>``, its reference is recorded in the same order, and the
-number of tokens it stands for is added up. Unknown types become ``<|unknown|>`` and stand for one token.
+placeholder ``<|image|>``, ``<|audio|>`` or ``<|document|>``, and its reference, its place in the formatted string and
+the number of tokens it stands for are recorded in the same order, and the tokens added up. Unknown types become ``<|unknown|>`` and stand for one token.
 
 A turn is ``<|role:ROLE|>TEXT<|end|>``. Texts and roles are escaped so that no template mark or other control string
 (they all need one of ``< > [``) can appear in them: ``~`` is written ``~0``, ``<`` ``~1``, ``[`` ``~2``, ``>`` ``~3``.
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import spans as S
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens: an image one for each square of so many pixels, audio so many a second, documents so many a page.
 IMAGE_PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 256
@@ -66,7 +68,8 @@ def _tokens(p: Column) -> Column:
 
 def format_chats(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start, end in code points of ``formatted``, by turn),
-    loss_turns (which turns are under the mask), attachments (turn, type, ref, in order), attachment_tokens.
+    loss_turns (which turns are under the mask), attachments (turn, type, ref, tokens, place in code points of
+    ``formatted``; in order), attachment_tokens.
 
     One shuffle, on the conversation: the running offset and the grouping use the same partitioning and sort.
     """
@@ -81,9 +84,18 @@ def format_chats(messages: DataFrame, learn_role: str = "assistant") -> DataFram
         "turn",
         "role",
         F.concat(F.lit("<|role:"), escape(F.col("role")), F.lit("|>")).alias("head"),
-        F.array_join(F.transform("parts", _shown), "").alias("body"),
-        F.transform(F.filter("parts", lambda p: p["type"] != "text"), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"))).alias("refs"),
-        F.aggregate(F.transform("parts", _tokens), F.lit(0).cast("long"), lambda a, b: a + b).alias("tokens"),
+        F.transform("parts", lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"), _shown(p).alias("shown"))).alias("parts"),
+    )
+    before = S.sums_before(F.transform("parts", lambda p: F.length(p["shown"])))
+    placed = S.let(before, lambda b: F.zip_with("parts", b, lambda p, at: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens"), at.alias("at"))))
+    m = m.select(
+        "conv_id",
+        "turn",
+        "role",
+        "head",
+        F.array_join(F.transform("parts", lambda p: p["shown"]), "").alias("body"),
+        F.filter(placed, lambda p: p["type"].isNull() | (p["type"] != "text")).alias("refs"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["tokens"]).alias("tokens"),
     )
     tail = "<|end|>"
     order = W.partitionBy("conv_id").orderBy("turn", "role", "body", F.to_json("refs"))
@@ -97,11 +109,16 @@ def format_chats(messages: DataFrame, learn_role: str = "assistant") -> DataFram
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("end"))).alias("loss_spans"),
         F.transform("t", lambda x: x["learn"]).alias("loss_turns"),
-        F.flatten(F.transform("t", lambda x: F.transform(x["refs"], lambda r: F.struct(x["turn"].alias("turn"), r["type"].alias("type"), r["ref"].alias("ref"))))).alias("attachments"),
+        F.flatten(F.transform("t", lambda x: F.transform(x["refs"], lambda r: F.struct(x["turn"].alias("turn"), r["type"].alias("type"), r["ref"].alias("ref"), r["tokens"].alias("tokens"), (x["start"] + r["at"]).cast("long").alias("place"))))).alias("attachments"),
         "attachment_tokens",
     )
 
 
+def read_loss(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, read from the formatted string by the mask's spans, unescaped."""
+    return F.array_join(F.transform(S.cut(formatted, loss_spans), unescape), "")
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation, unescaped; placeholders stay as they are."""
     pieces = F.split(formatted, r"<\|end\|>")

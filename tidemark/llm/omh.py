@@ -7,9 +7,12 @@ tuple are put in the order they have in the text, and the tuple is hashed in tha
 fingerprints is the share of equal tuples among those that are not empty in both, to the power 1 / LENGTH: it falls
 with edits and with changes of order alike. Equal texts have equal fingerprints; two without words are alike.
 
-Documents follow each other by doc_id (null first), then text. They are dealt into ranges of doc_ids, so that a text
-meets the next one with a single shuffle; the first text of each range also goes to the range before it. Occurrences
-are numbered, minima taken and fingerprints gathered within those ranges.
+Documents follow each other by doc_id (null first), then a hash of the text, then the text. They are dealt into ranges
+of that order, one task each, so that a text meets the next one with a single shuffle; the first text of each range also
+goes to the range before it. Documents without a doc_id, and those of a doc_id that fills several ranges, are dealt over
+as many ranges as their share; equal texts among these stay together. Occurrences are numbered, minima taken and
+fingerprints gathered within those ranges. Places are kept in 26 bits: of words beyond 67 million in one text the order
+among equal minima is lost.
 
 Null texts are empty. Rows that repeat or share a doc_id are documents of their own, one after the other. Extra columns
 are not read. An empty table gives an empty table; a single document is its own next.
@@ -27,21 +30,41 @@ K, TUPLES, LENGTH = 2, 32, 2
 _GAP, _WHITE = r"[\x20\x09-\x0D]++", " \t\n\x0b\x0c\r"
 
 
+def _below(x: Column, cuts: list[int], upto: bool) -> Column:
+    """How many of the ascending cuts are below x, with ``upto`` at most x; looked up in runs, not one by one."""
+    if not cuts:
+        return F.lit(0)
+    held = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>")
+    n = lambda v: F.size(F.filter(v, lambda c: c <= x if upto else c < x))
+    run = max(1, int(len(cuts) ** 0.5))
+    top = n(held(cuts[::run]))
+    return F.when(top == 0, 0).otherwise((top - 1) * run + n(F.slice(held(cuts), (top - 1) * run + 1, F.lit(run))))
+
+
 def follow(docs: DataFrame, parts: int) -> DataFrame:
     """(bucket, no, doc_id, text, next): each document with the text that follows it."""
     t = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    cuts = t.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    held = F.lit(",".join(map(str, cuts)))
-    bucket = F.size(F.filter(F.split(held, ",").cast("array<bigint>"), lambda c: c <= F.coalesce("doc_id", F.lit(-(1 << 63))))) if cuts else F.lit(0)
-    order = W.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    t = t.withColumn("bucket", bucket).repartition(max(1, parts // 2), "bucket")
-    t = t.withColumn("no", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    # the first of each range, one row per range
-    heads = t.where("no = 1").select("bucket", F.col("text").alias("head"))
+    rows, known = t.agg(F.count("*"), F.count("doc_id")).first()
+    blank = -(-parts * (rows - known) // rows) if rows > known else 0
+    ranges = max(1, parts - blank)
+    cuts = t.where("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 and known else []
+    cuts = sorted(int(c) for c in cuts)
+    t = t.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    share = lambda n: F.shiftright(F.col("tie") * n, 30).cast("int")
+    t = t.withColumn("low", _below(F.col("doc_id"), cuts, False)).withColumn("high", _below(F.col("doc_id"), cuts, True))
+    several = F.col("high") - F.col("low")
+    bucket = F.when(F.col("doc_id").isNull(), share(F.lit(blank))).when(several > 1, F.col("low") + 1 + share(several) + blank).otherwise(F.col("high") + blank).cast("int")
+    t = t.withColumn("bucket", bucket).select("bucket", "doc_id", "tie", "text")
+    # the first text of each range, one row per range, also goes to the end of the range before it
+    first = t.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("f"))
     ring = W.orderBy("bucket")
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)).alias("after"))
-    return t.join(heads, "bucket").select("bucket", "no", "doc_id", "text", F.coalesce("next", "after").alias("next"))
+    first = first.select(F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(ring), F.last("bucket").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"), "f")
+    heads = t.join(F.broadcast(first), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("tie") == F.col("f.tie"))).groupBy("to").agg(F.min("text").alias("text"))
+    null = F.lit(None).cast("long")
+    both = t.withColumn("extra", F.lit(0)).unionByName(heads.select(F.col("to").alias("bucket"), null.alias("doc_id"), null.alias("tie"), "text", F.lit(1).alias("extra")))
+    order = W.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "tie", "text")
+    dealt = both.repartitionById(blank + ranges, "bucket").withColumn("no", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
+    return dealt.where("extra = 0").select("bucket", "no", "doc_id", "text", "next")
 
 
 def edited(text: Column, nxt: Column) -> Column:

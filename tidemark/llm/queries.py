@@ -21,8 +21,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     m = c.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
     f = chat.format_chats(m).withColumn("turns", chat.read_turns(F.col("formatted")))
-    learnt = F.transform(F.filter(F.arrays_zip("turns", "loss_turns"), lambda x: x["loss_turns"]), lambda x: x["turns"]["text"])
-    f = f.withColumn("loss", F.array_join(learnt, ""))
+    f = f.withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
     return f.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -5,7 +5,8 @@ every byte under a repeated string goes. Strings never cross documents.
 
 Distribution. Each string holds length - GRAM + 1 grams of GRAM bytes; the smallest hash among them is its key, so
 equal strings have equal keys and meet. The strings of a document that start next to each other and have the same key
-form a chunk, which is described by its key, its range of starts and a hash of its bytes. Equal chunks are counted
+form a chunk, which is described by its key, its range of starts and a 64-bit digest of its bytes (equal chunks are those
+of one key with one digest). Equal chunks are counted
 before anything is dealt by key, and only chunks of keys that occur more than once go on, one text for each different
 chunk with the number of its copies. A key with more than GROUP different chunks is cut up by keys of the same kind
 with longer grams (GRAMS); the last are whole strings, of which a key has one each, so no group grows with the input.
@@ -22,6 +23,8 @@ an empty table.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -84,7 +87,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     begin = at[first]
     k = k[first]
     end = begin + count - 1 + length
-    own = span_hash_of(h, begin, end)
+    raw = data.tobytes()
+    own = np.frombuffer(b"".join([blake2b(raw[a:z], digest_size=8).digest() for a, z in zip(begin.tolist(), end.tolist())]), np.uint64)
     # equal strings of a chunk hold its key's gram at two places: only such chunks are looked into
     several = _gram_places(g, key, w, k, begin, end - gram) > 1
     maybe = np.flatnonzero(several)
@@ -113,10 +117,6 @@ def _gram_places(g: np.ndarray, key: np.ndarray, w: int, k: np.ndarray, begin: n
     return np.searchsorted(at, of + last, "right") - np.searchsorted(at, of + begin)
 
 
-def span_hash_of(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((h[end] - h[start]) * _powers(len(h))[1][start] + (end - start).astype(np.uint64))
-
-
 # ---------------------------------------------------------------- suffix array
 
 
