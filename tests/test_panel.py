@@ -1,6 +1,11 @@
 """Unit cases of the panel operators on literal tables."""
 
+import os
+import shutil
+import subprocess
+import sys
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -265,3 +270,92 @@ def test_names(spark):
     df = spark.createDataFrame([(0, -0.2, 0.4, -0.2, 0.5, 0.0), (1, 0.05, 0.1, -0.01, 0.2, 0.0), (2, 0.05, 0.1, -0.01, 0.2, 0.0)], "label int, mean_return double, market_volatility double, market_max_drawdown double, mean_correlation double, technology_minus_market double")
     got = [r.regime_name for r in labels.name_regimes(df, df.columns[1:]).orderBy("label").collect()]
     assert got == ["Regime A：危机共振状态", "Regime B：低波动牛市", "Regime C：低波动牛市 2"]
+
+
+def test_members_with_headers(spark):
+    """Reordered and differently spelt columns, a header that lacks a price, and no header, side by side."""
+    rows = [
+        ("a", 0, "Close;<DATE>;Symbol;other"), ("a", 1, "1.5;20200102;aapl.us;x"), ("a", 2, "2.5;20200102;aapl.us;x"), ("a", 3, "bad;20200103;aapl.us;x"),
+        ("b", 5, "<TICKER>;<PER>;<DATE>;<TIME>;<OPEN>;<HIGH>;<LOW>;<CLOSE>;<VOL>;<OPENINT>"), ("b", 6, "MSFT.US;D;20200106;0;1;2;1;7;1;0"),
+        ("c", 1, "BRK-B.US;D;20200107;0;1;2;1;9;1;0"), ("d", 1, "date;open"), ("d", 2, "20200108;3"), ("e", 1, "Adj Close;datetime"), ("e", 2, "4;20200109"),
+    ]
+    lines = spark.createDataFrame(rows, "member string, line_no long, value string")
+    got, stats = archive.parse_members(lines, ";")
+    assert sorted((r.member, str(r.ticker), str(r.date), r.close) for r in got.collect()) == [("a", "AAPL", "2020-01-02", 2.5), ("b", "MSFT", "2020-01-06", 7.0), ("c", "BRK.B", "2020-01-07", 9.0), ("e", "None", "2020-01-09", 4.0)]
+    assert {r.member: (r.invalid_date_count, r.invalid_price_count, r.duplicate_count) for r in stats.collect()} == {"a": (0, 1, 1), "b": (0, 0, 0), "c": (0, 0, 0), "d": (0, 1, 0), "e": (0, 0, 0)}
+
+
+def test_structural_label(spark):
+    names = "window_ord int, mean_correlation double, market_volatility double, pca_first_component_ratio double, mean_pairwise_distance double, sector_cluster_ari double"
+    label = lambda *last: predict.structural_label(spark.createDataFrame([(0, 0.5, 0.5, 0.5, 0.5, 0.5), (1, 9.0, 9.0, 9.0, 9.0, 9.0), (2, *last)], names)).first().label
+    assert label(0.6, 0.6, 0.6, 0.1, 0.1) == predict.TOGETHER and label(0.4, 0.6, 0.6, 0.6, 0.6) == predict.APART
+    assert label(0.6, 0.6, 0.4, 0.6, 0.6) == predict.MIXED and label(0.4, 0.6, 0.6, 0.6, 0.5) == predict.MIXED
+
+
+def test_full_window_metrics(spark, small):
+    """Every column against its definition, window by window, from the returns alone."""
+    from tidemark.plans import catalog
+
+    got = {r.window_ord: r for r in catalog._full_metrics(spark, small).collect()}
+    r = windows.expand(catalog._returns(spark, small), catalog.SIZE, catalog.STEP).toPandas()
+    assert len(got) == r.window_ord.nunique() > 2
+    before = None
+    for k, w in sorted(r.groupby("window_ord")):
+        x = w.pivot(index="ord", columns="ticker", values="ret").sort_index(axis=1)
+        c = x.corr().fillna(0.0).to_numpy().copy()
+        np.fill_diagonal(c, 1.0)
+        d = np.sqrt(np.maximum(0, 2 * (1 - c)))
+        off = ~np.eye(len(c), dtype=bool)
+        z = ((x - x.mean()) / x.std(ddof=1).replace(0, np.nan)).fillna(0).to_numpy()
+        lab = cluster.average_linkage(d, min(6, max(2, len(c) - 1)))
+        own = [np.mean([d[i, j] for j in range(len(c)) if j != i and lab[j] == lab[i]]) if (lab == lab[i]).sum() > 1 else None for i in range(len(c))]
+        near = [min(np.mean(d[i, lab == o]) for o in set(lab) if o != lab[i]) for i in range(len(c))]
+        sil = np.mean([0 if a is None or max(a, b) == 0 else (b - a) / max(a, b) for a, b in zip(own, near)])
+        eig = np.linalg.eigvalsh(z.T @ z)
+        want = {"mean_correlation": c[off].mean(), "median_correlation": np.median(c[off]), "mean_distance": d[off].mean(), "market_volatility": x.mean(axis=1).std(ddof=1) * np.sqrt(252), "dispersion": x.std(axis=1, ddof=1).mean(),
+                "pca_first_component_ratio": eig[-1] / eig.sum(), "silhouette_score": sil, "cluster_count": len(set(lab)), "adjacent_window_ari": before and rand(before, lab.tolist()), "sector_cluster_ari": rand([w.set_index("ticker").sector.to_dict()[t] for t in x.columns], lab.tolist())}
+        for name, v in want.items():
+            assert got[k][name] == (pytest.approx(v, abs=1e-6) if v is not None else None), (k, name)
+        assert 0 < got[k].mean_pairwise_distance < 2 and 0 < got[k].pca_stock_projection_pc1_ratio <= 1 and 0 <= got[k].sector_cluster_nmi <= 1
+        before = lab.tolist()
+
+
+def rand(a, b):
+    """Adjusted Rand index by its definition."""
+    two = lambda x: x * (x - 1) / 2
+    s = sum(two(sum(p == (x, y) for p in zip(a, b))) for x in set(a) for y in set(b))
+    sa, sb = sum(two(a.count(x)) for x in set(a)), sum(two(b.count(y)) for y in set(b))
+    e = sa * sb / two(len(a))
+    return 1.0 if (sa + sb) / 2 == e else (s - e) / ((sa + sb) / 2 - e)
+
+
+def test_sinks_and_reports(spark, tmp_path):
+    d = spark.createDataFrame([("A", 1.25), ("B", None)], "name string, v double")
+    archive.write_csv(d, str(tmp_path / "c"))
+    assert [tuple(r) for r in archive.dashboard_csv(spark, str(tmp_path / "c"), ["v"]).orderBy("name").collect()] == [("A", 1.25), ("B", None)]
+    archive.write_json(d, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).where("v is not null").count() == 1
+    built = []
+    make = lambda: built.append(1) or d
+    assert [archive.cached(spark, str(tmp_path / "k"), {"a": 1}, make).count() for _ in range(2)] == [2, 2] and len(built) == 1
+    archive.cached(spark, str(tmp_path / "k"), {"a": 2}, make)
+    assert len(built) == 2
+    m = spark.createDataFrame([("x/y/a.txt", 3), ("b.md", 4)], "source_member string, member_size long")
+    one = archive.inspection_report(m, str(tmp_path / "r"))
+    assert (one["members"], one["text_members"], one["extensions"]) == (2, 1, {".txt": 1, ".md": 1}) and "members: 2" in (tmp_path / "r/inspection.md").read_text()
+    assert labels.markdown_table(d.where("name = 'A'"), ["name", "v"]) == "| name | v |\n| --- | --- |\n| A | 1.2500 |"
+
+
+def test_queries_without_the_corpus_part(tmp_path):
+    """The registry on a copy of the repository that has neither the corpus operators nor the tokenizers."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / f).exists():
+            shutil.copy(root / f, tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), len(e.oracle_sql()), any(k.startswith('op') for k in q))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    out = run().stdout.split()
+    assert int(out[0]) > 100 and int(out[1]) > 90 and out[2] == "False"
+    if (tmp_path / "corpus_pipeline.py").exists():
+        (tmp_path / "corpus_pipeline.py").unlink()
+    assert run().stdout.split() == out

@@ -12,10 +12,7 @@ SHARE_CLASSES = {"BRK-B": "BRK.B", "BRKB": "BRK.B", "BF-B": "BF.B", "BFB": "BF.B
 def normalize_ticker(c: Column) -> Column:
     """Trimmed, upper case, without a trailing ``.US``, ``_`` as ``-``, share classes in canonical form."""
     t = F.translate(F.regexp_replace(F.upper(F.trim(c)), r"\.US$", ""), "_", "-")
-    out = t
-    for a, b in SHARE_CLASSES.items():
-        out = F.when(t == a, b).otherwise(out)
-    return out
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in SHARE_CLASSES.items() for x in pair))[t], t)
 
 
 def vendor_ticker(c: Column) -> Column:

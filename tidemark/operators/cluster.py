@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import square_distance
 from ..session import ship, tabled
+from .evaluate import adjusted_rand, normalized_mutual_information, silhouettes
 
 # ---------------------------------------------------------------- Lloyd on DataFrames
 
@@ -204,3 +205,18 @@ def _linkage_of(pdf, k: int):
     names, d = square(pdf)
     k = min(k, max(2, len(names) - 1))
     return pd.DataFrame({"window_ord": pdf.window_ord.iloc[0], "ticker": names, "cluster": average_linkage(d, k)})
+
+
+def label_scores(distances: DataFrame, labels: DataFrame, sectors: DataFrame) -> DataFrame:
+    """window_ord, cluster_count, silhouette_score, adjacent_window_ari (null in the first window), sector_cluster_ari,
+    sector_cluster_nmi of the labels (window_ord, ticker, cluster) of every window."""
+    x = distances.select("window_ord", F.col("t1").alias("i"), F.col("t2").alias("j"), F.col("dist").alias("d"))
+    own = lambda c, name: labels.select("window_ord", F.col("ticker").alias(c), F.col("cluster").alias(name))
+    pairs = x.unionByName(x.select("window_ord", F.col("j").alias("i"), F.col("i").alias("j"), "d")).join(own("i", "li"), ["window_ord", "i"]).join(own("j", "lj"), ["window_ord", "j"])
+    sil = silhouettes(pairs, 0.0, ("window_ord",)).groupBy("window_ord").agg(F.avg("silhouette").alias("silhouette_score"))
+    before = labels.select((F.col("window_ord") + 1).alias("window_ord"), "ticker", F.col("cluster").alias("before"))
+    near = adjusted_rand(labels.join(before, ["window_ord", "ticker"]), "cluster", "before", ("window_ord",)).withColumnRenamed("ari", "adjacent_window_ari")
+    named = labels.join(sectors, "ticker")
+    out = labels.groupBy("window_ord").agg(F.countDistinct("cluster").alias("cluster_count")).join(sil, "window_ord").join(near, "window_ord", "left")
+    out = out.join(adjusted_rand(named, "sector", "cluster", ("window_ord",)).withColumnRenamed("ari", "sector_cluster_ari"), "window_ord")
+    return out.join(normalized_mutual_information(named, "sector", "cluster", ("window_ord",)).withColumnRenamed("nmi", "sector_cluster_nmi"), "window_ord")

@@ -27,15 +27,15 @@ def pair_distances(points: DataFrame) -> DataFrame:
     return a.crossJoin(b).where("i <> j").select("i", "li", "j", "lj", distance(F.col("xi"), F.col("xj")).alias("d"))
 
 
-def silhouettes(pairs: DataFrame, singleton: float = 1.0) -> DataFrame:
-    """id, label, silhouette. singleton: the score of a point alone in its cluster (1, or 0 by another convention).
+def silhouettes(pairs: DataFrame, singleton: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys), id, label, silhouette. singleton: the score of a point alone in its cluster (1, or 0 by another convention).
 
     ``pairs`` may hold any distance, as i, li, j, lj, d.
     """
-    m = pairs.groupBy("i", "li", "lj").agg(F.avg("d").alias("m"))
-    g = m.groupBy("i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
+    m = pairs.groupBy(*keys, "i", "li", "lj").agg(F.avg("d").alias("m"))
+    g = m.groupBy(*keys, "i", "li").agg(F.max(F.when(F.col("li") == F.col("lj"), F.col("m"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("m"))).alias("b"))
     s = F.when(F.col("b").isNull(), F.lit(0.0)).when(F.col("a").isNull(), F.lit(singleton)).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return g.select(F.col("i").alias("id"), F.col("li").alias("label"), s.alias("silhouette"))
+    return g.select(*keys, F.col("i").alias("id"), F.col("li").alias("label"), s.alias("silhouette"))
 
 
 def silhouette(points: DataFrame, singleton: float = 1.0) -> DataFrame:

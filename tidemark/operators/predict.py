@@ -71,6 +71,18 @@ def compare(metrics: DataFrame, features: list[str], target: str) -> DataFrame:
     return out
 
 
+#: The names of what the change from the first to the last window means.
+TOGETHER, APART, MIXED = "系统性联动增强", "市场分化增强", "结构变化混合，未形成单一方向判断"
+
+
+def structural_label(metrics: DataFrame) -> DataFrame:
+    """One row: the changes (last - first) of five metrics and the name of the direction they share, if any."""
+    columns = ["mean_correlation", "market_volatility", "pca_first_component_ratio", "mean_pairwise_distance", "sector_cluster_ari"]
+    g = metrics.agg(*((F.max_by(c, "window_ord") - F.min_by(c, "window_ord")).alias(f"{c}_change") for c in columns))
+    corr, vol, pc, far, sector = (F.col(f"{c}_change") for c in columns)
+    return g.withColumn("label", F.when((corr > 0) & (vol > 0) & (pc > 0), TOGETHER).when((corr < 0) & (far > 0) & (sector > 0), APART).otherwise(MIXED))
+
+
 def interpretation(metrics: DataFrame, columns: list[str]) -> DataFrame:
     """metric, delta (last - first) and direction."""
     g = metrics.agg(*((F.max_by(c, "window_ord") - F.min_by(c, "window_ord")).alias(c) for c in columns))

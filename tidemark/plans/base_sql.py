@@ -96,7 +96,7 @@ CTES = {
          least(min(close / peak - 1), 0) AS max_drawdown_1y FROM ayear GROUP BY ticker""",
     "profile": "SELECT a.*, n.sector AS label, row_number() OVER (ORDER BY a.ticker) AS ord FROM assets a JOIN names n USING (ticker)",
     # points with given labels
-    "pts": "SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS x, label FROM embeddings WHERE embedding IS NOT NULL",
+    "pts": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings WHERE embedding IS NOT NULL",
     "flat": "SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM pts",
     "cent": "SELECT label, pos, avg(v) AS c, count(*) AS size FROM flat GROUP BY ALL",
     "sqd": "SELECT f.id, f.label, sum((v - c) * (v - c)) AS d2 FROM flat f JOIN cent c ON f.label = c.label AND f.pos = c.pos GROUP BY ALL",

@@ -85,7 +85,8 @@ def _assets(s, d):
 
 
 def _profile(s, d):
-    a = _assets(s, d).join(_panel(s, d).select("ticker", F.col("sector").alias("label")).distinct(), "ticker")
+    clean = _clean(s, d)
+    a = returns.asset_features(clean).join(clean.select("ticker", F.col("sector").alias("label")).distinct(), "ticker")
     return a.withColumn("ord", F.row_number().over(W.orderBy("ticker")))
 
 
@@ -506,9 +507,10 @@ def d16_linkage_labels(s, d):
     sym="SELECT t1 AS i, t2 AS j, dist AS d FROM dist WHERE window_ord = 0 UNION ALL SELECT t2, t1, dist FROM dist WHERE window_ord = 0",
     prs="SELECT i, a.sector AS li, j, b.sector AS lj, d FROM sym JOIN names a ON a.ticker = i JOIN names b ON b.ticker = j"))
 def d18_safe_silhouette(s, d):
-    x = windows.with_distance(_pairs(s, d)).where("window_ord = 0")
+    r = _returns(s, d)
+    x = windows.with_distance(windows.pair_correlations_by_blocks(r, SIZE, STEP)).where("window_ord = 0")
     both = x.select(F.col("t1").alias("i"), F.col("t2").alias("j"), F.col("dist").alias("d")).unionByName(x.select(F.col("t2").alias("i"), F.col("t1").alias("j"), F.col("dist").alias("d")))
-    names = F.broadcast(_panel(s, d).select("ticker", "sector").distinct())
+    names = F.broadcast(r.select("ticker", "sector").distinct())  # of the size of a window's columns
     p = both.join(names.select(F.col("ticker").alias("i"), F.col("sector").alias("li")), "i").join(names.select(F.col("ticker").alias("j"), F.col("sector").alias("lj")), "j")
     return evaluate.silhouettes(p, singleton=0.0).agg(rounded(F.avg("silhouette")).alias("silhouette"))
 
@@ -568,6 +570,49 @@ def d25_window_metrics(s, d):
     return _six(_metrics(s, d), *WINDOW_METRICS)
 
 
+LABEL_SCORES = ["silhouette_score", "adjacent_window_ari", "sector_cluster_ari", "sector_cluster_nmi"]
+_PER_WINDOW = """SELECT window_ord, coalesce((s - sa * sb / p) / nullif((sa + sb) / 2 - sa * sb / p, 0), 1) AS ari,
+  CASE WHEN ha + hb = 0 THEN 1 ELSE coalesce(mi / nullif((ha + hb) / 2, 0), 0) END AS nmi FROM (
+    SELECT window_ord, sum(n * (n - 1) / 2.0) AS s, sum(n / t * ln(n * t / (na * nb))) AS mi, max(t * (t - 1) / 2.0) AS p FROM {c} GROUP BY window_ord)
+  JOIN (SELECT window_ord, sum(na * (na - 1) / 2.0) AS sa, -sum(na / t * ln(na / t)) AS ha FROM (SELECT DISTINCT window_ord, a, na, t FROM {c}) GROUP BY window_ord) USING (window_ord)
+  JOIN (SELECT window_ord, sum(nb * (nb - 1) / 2.0) AS sb, -sum(nb / t * ln(nb / t)) AS hb FROM (SELECT DISTINCT window_ord, b, nb, t FROM {c}) GROUP BY window_ord) USING (window_ord)"""
+_COUNTED = "SELECT *, CAST(sum(n) OVER (PARTITION BY window_ord, a) AS DOUBLE) AS na, CAST(sum(n) OVER (PARTITION BY window_ord, b) AS DOUBLE) AS nb, CAST(sum(n) OVER (PARTITION BY window_ord) AS DOUBLE) AS t FROM ({}) q"
+
+
+@query(sql("SELECT w.window_ord, cluster_count, round(sil, 6) + 0.0 AS silhouette_score, round(n.ari, 6) + 0.0 AS adjacent_window_ari, round(x.ari, 6) + 0.0 AS sector_cluster_ari, round(x.nmi, 6) + 0.0 AS sector_cluster_nmi"
+    " FROM (SELECT window_ord, count(DISTINCT lab) AS cluster_count FROM lab GROUP BY window_ord) w JOIN sils USING (window_ord) JOIN bysector x USING (window_ord) LEFT JOIN byprev n USING (window_ord)",
+    lab="SELECT window_ord, ticker, CASE WHEN sum(ret) > 0 THEN 1 ELSE 0 END AS lab FROM win GROUP BY ALL",
+    sym="SELECT window_ord, t1 AS i, t2 AS j, dist AS d FROM dist UNION ALL SELECT window_ord, t2, t1, dist FROM dist",
+    sils="""SELECT window_ord, avg(CASE WHEN b IS NULL THEN 0 WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS sil FROM (
+  SELECT window_ord, i, max(m) FILTER (WHERE li = lj) AS a, min(m) FILTER (WHERE li <> lj) AS b FROM (
+    SELECT s.window_ord, i, x.lab AS li, y.lab AS lj, avg(d) AS m FROM sym s JOIN lab x ON x.window_ord = s.window_ord AND x.ticker = i JOIN lab y ON y.window_ord = s.window_ord AND y.ticker = j GROUP BY ALL) GROUP BY ALL) GROUP BY window_ord""",
+    csector=_COUNTED.format("SELECT window_ord, n.sector AS a, lab AS b, CAST(count(*) AS DOUBLE) AS n FROM lab JOIN names n USING (ticker) GROUP BY ALL"), bysector=_PER_WINDOW.format(c="csector"),
+    cprev=_COUNTED.format("SELECT x.window_ord, x.lab AS a, y.lab AS b, CAST(count(*) AS DOUBLE) AS n FROM lab x JOIN lab y ON y.window_ord + 1 = x.window_ord AND x.ticker = y.ticker GROUP BY ALL"), byprev=_PER_WINDOW.format(c="cprev")))
+def d25_label_scores(s, d):
+    r = _returns(s, d)
+    lab = tabled(windows.expand(r, SIZE, STEP).groupBy("window_ord", "ticker").agg((F.sum("ret") > 0).cast("int").alias("cluster")), "labels")
+    far = tabled(windows.with_distance(windows.pair_correlations_by_blocks(r, SIZE, STEP)), "distances")
+    return _six(cluster.label_scores(far, lab, r.select("ticker", "sector").distinct()), *LABEL_SCORES)
+
+
+def _full_metrics(s, d):
+    """All sixteen columns: structure, coordinates, clusters and their scores of every window."""
+    r = _returns(s, d)
+    win = windows.expand(r, SIZE, STEP)
+    far = tabled(windows.with_distance(windows.pair_correlations_by_blocks(r, SIZE, STEP)), "distances")
+    lab = tabled(cluster.window_labels(far, 6), "labels")
+    # alignment is an isometry: distances of raw and aligned coordinates are the same
+    out = windows.structure(r, SIZE, STEP).join(embed.pca_ratio(win).withColumnRenamed("pc1_ratio", "pca_first_component_ratio"), "window_ord")
+    out = out.join(embed.mean_pairwise_distance(embed.mds(far), "x_raw", "y_raw"), "window_ord")
+    projected = embed.asset_pca(win).groupBy("window_ord").agg(F.first("ratio").alias("pca_stock_projection_pc1_ratio"))
+    return out.join(cluster.label_scores(far, lab, r.select("ticker", "sector").distinct()), "window_ord").join(projected, "window_ord")
+
+
+@query()
+def d25_full_window_metrics(s, d):
+    return _full_metrics(s, d)
+
+
 # ---------------------------------------------------------------- E: ordering
 
 
@@ -599,9 +644,9 @@ def e5_near_edges(s, d):
     return ranking.near_edges(_profile(s, d).select("ticker", F.col("label").alias("cluster"), F.col("volatility_1y").alias("x"), F.col("return_1y").alias("y")))
 
 
-@query("SELECT p_partkey, p_brand, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_brand, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")
 def e6_table_sort(s, d):
-    return table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(100)
+    return table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice").orderBy(F.col("p_retailprice").desc(), "p_partkey")
 
 
 @query("SELECT n_name AS ticker FROM nation WHERE contains(n_name, 'ION_1') ORDER BY n_name <> 'ION_1', n_name LIMIT 1")
@@ -664,6 +709,11 @@ def f7_interpretation(s, d):
     return _six(predict.interpretation(_metrics(s, d), WINDOW_METRICS), "delta")
 
 
+@query()
+def f7_structural_label(s, d):
+    return predict.structural_label(_full_metrics(s, d))
+
+
 # ---------------------------------------------------------------- G: market windows
 
 
@@ -746,7 +796,13 @@ def g25_neighbour_layout(s, d):
 
 _NAMED = "SELECT label, " + ", ".join(f"avg({c}) AS {c}" for c in windows.SNAPSHOT_FEATURES) + " FROM labelled GROUP BY label"
 _REGIME = """SELECT label, concat('Regime ', chr(CAST(64 + row_number() OVER (ORDER BY label) AS INTEGER)), '：', nm, CASE WHEN nth > 1 THEN concat(' ', nth) ELSE '' END) AS regime_name
-FROM (SELECT *, row_number() OVER (PARTITION BY nm ORDER BY label) AS nth FROM (SELECT *, """ + labels.rule_sql(labels.REGIME_RULES) + " AS nm FROM means))"
+FROM (SELECT *, row_number() OVER (PARTITION BY nm ORDER BY label) AS nth FROM (SELECT *,
+  CASE WHEN market_max_drawdown < -0.14 OR (market_max_drawdown < -0.10 AND market_volatility > 0.32) THEN '危机共振状态'
+       WHEN market_volatility > 0.18 AND mean_return < 0 THEN '高波动调整期'
+       WHEN technology_minus_market > 0.03 AND mean_return > 0 THEN CASE WHEN market_volatility < 0.18 THEN '低波动科技牛市' ELSE '科技成长驱动阶段' END
+       WHEN mean_return > 0.10 THEN '强复苏扩张阶段'
+       WHEN mean_return > 0 THEN CASE WHEN mean_correlation < 0.58 AND market_volatility < 0.17 THEN '低波动牛市' ELSE '复苏扩张阶段' END
+       ELSE '防御震荡阶段' END AS nm FROM means))"""
 
 
 @query(sql(_REGIME, means=_NAMED))
@@ -821,7 +877,16 @@ def h6_k_values(s, d):
     return cluster.model_grid(_asset_points(s, d), range(2, 13), ("kmeans",), eps=1e-12).drop("labels")
 
 
-@query(sql("SELECT label, n, " + ", ".join(f"round(avg_{c}, 6) + 0.0 AS avg_{c}" for c in ASSET_FEATURES) + ", representatives, " + labels.rule_sql(labels.PROFILE_RULES) + " AS profile_name FROM prof",
+@query(sql("SELECT label, n, " + ", ".join(f"round(avg_{c}, 6) + 0.0 AS avg_{c}" for c in ASSET_FEATURES) + """, representatives,
+  CASE WHEN avg_momentum_6m > 0.15 AND avg_return_1y > 0.35 THEN CASE WHEN avg_volatility_1y > 0.28 THEN '高收益高波动动量型' ELSE '高收益稳健动量型' END
+       WHEN avg_max_drawdown_1y > -0.14 AND avg_volatility_1y < 0.17 THEN '低波动稳健型'
+       WHEN avg_max_drawdown_1y < -0.28 AND avg_volatility_1y > 0.31 THEN CASE WHEN avg_momentum_6m > 0 THEN '高波动修复型' ELSE '高风险下行型' END
+       WHEN avg_momentum_6m > 0 AND avg_return_1y < 0 THEN '防御修复型'
+       WHEN avg_momentum_6m < 0 AND avg_return_1y < 0.08 AND avg_volatility_1y < 0.18 THEN '低波动承压型'
+       WHEN avg_momentum_6m < 0 AND avg_return_1y < 0.05 THEN '弱动量承压型'
+       WHEN avg_volatility_1y > 0.24 AND avg_return_1y > 0.18 THEN '成长波动型'
+       WHEN avg_max_drawdown_1y < -0.25 AND avg_return_1y < 0 THEN '深度价值反弹型'
+       ELSE '均衡核心型' END AS profile_name FROM prof""",
     prof="SELECT label, count(*) AS n, " + ", ".join(f"avg({c}) AS avg_{c}" for c in ASSET_FEATURES) + ", array_to_string(list(ticker ORDER BY ord)[1:8], ', ') AS representatives FROM profile GROUP BY label"))
 def h7_h8_profiles(s, d):
     return _six(labels.asset_profiles(_profile(s, d), ASSET_FEATURES), *(f"avg_{c}" for c in ASSET_FEATURES))

@@ -13,11 +13,12 @@ import zipfile
 from hashlib import sha256
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tickers import extension, normalize_ticker, ticker_from_member
+from ..session import tabled
 
 #: Text suffixes, encodings in the order they are tried, delimiters, and the ten columns by position.
 TEXT_SUFFIXES = (".txt", ".csv", ".dat")
@@ -117,19 +118,42 @@ def match_members(requested: DataFrame, index: DataFrame) -> DataFrame:
     return b.select("project_ticker", "source_member", found.alias("matched"), F.when(found, "matched").otherwise("no_member").alias("reason"))
 
 
+def header_places(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """member, first_line, has_header, and the places of ticker, date and close in its lines (null where it has none).
+
+    A member has a header if its first line names a known column and holds no date of eight digits; its columns are then
+    found by their names and spellings, otherwise by position.
+    """
+    first = lines.groupBy("member").agg(F.min("line_no").alias("first_line"), F.min_by("value", "line_no").alias("head"))
+    spelt = F.create_map(*(F.lit(x) for pair in HEADERS.items() for x in pair))
+    bare = F.transform(F.split("head", re.escape(delimiter)), lambda c: F.regexp_replace(F.lower(F.trim(c)), "^<|>$", ""))
+    named = first.withColumn("names", F.transform(bare, lambda c: F.coalesce(spelt[c], c)))
+    known = F.arrays_overlap("names", F.array(*map(F.lit, COLUMNS))) & ~F.col("head").rlike(r"\b[0-9]{8}\b")
+    named = named.withColumn("has_header", known)
+    place = lambda c: F.when(F.col("has_header"), F.nullif(F.array_position("names", F.lit(c)), F.lit(0)) - 1).otherwise(COLUMNS.index(c)).cast("int")
+    return named.select("member", "first_line", "has_header", *(place(c).alias(f"{c}_at") for c in ("ticker", "date", "close")))
+
+
 def parse_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Rows of (member, line_no, value) by position: member, line_no, ticker, date, close, with null where unreadable."""
-    f = F.split("value", re.escape(delimiter))
-    at = {c: i for i, c in enumerate(COLUMNS)}
-    text = lambda c: F.nullif(F.trim(F.get(f, F.lit(at[c]))), F.lit(""))
-    body = lines.where(~F.lower("value").startswith("<ticker>") & ~F.lower("value").startswith("ticker" + delimiter))
-    day = F.when(text("date").rlike("^[0-9]{8}$"), F.to_date(F.try_to_timestamp(text("date"), F.lit("yyyyMMdd"))))
-    return body.select("member", "line_no", normalize_ticker(text("ticker")).alias("ticker"), day.alias("date"), text("close").try_cast("double").alias("close"))
+    """Rows of (member, line_no, value): member, line_no, ticker, date, close, with null where unreadable; header lines go.
+
+    A line is split once; members whose header names no date or no close have no readable rows.
+    """
+    j = lines.join(header_places(lines, delimiter), "member").where(~(F.col("has_header") & (F.col("line_no") == F.col("first_line"))))
+
+    def fields(f: Column) -> Column:
+        text = lambda c: F.nullif(F.trim(F.get(f, F.col(f"{c}_at"))), F.lit(""))
+        return F.struct(text("ticker").alias("ticker"), text("date").alias("date"), text("close").alias("close"))
+
+    cut = j.select("member", "line_no", F.element_at(F.transform(F.array(F.split("value", re.escape(delimiter))), fields), 1).alias("f"))
+    day = F.when(F.col("f.date").rlike("^[0-9]{8}$"), F.to_date(F.try_to_timestamp("f.date", F.lit("yyyyMMdd"))))
+    return cut.select("member", "line_no", normalize_ticker(F.col("f.ticker")).alias("ticker"), day.alias("date"), F.col("f.close").try_cast("double").alias("close"))
 
 
 def parse_members(lines: DataFrame, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
     """(rows, stats): valid rows, the last of each date kept, and counts per member."""
-    p = parse_lines(lines, delimiter)
+    # the parsed lines are a table: rows and counts read it, nothing is parsed twice
+    p = tabled(parse_lines(lines, delimiter), "lines")
     ok = F.col("date").isNotNull() & F.coalesce((F.col("close") > 0) & (F.col("close") < float("inf")), F.lit(False))
     good = p.where(ok)
     last = W.partitionBy("member", "date").orderBy(F.col("line_no").desc())

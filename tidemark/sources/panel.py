@@ -30,7 +30,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("ticker")).agg(F.avg("value").alias("close")).withColumn("sector", F.lit("events"))
 
 
-def labelled_points(spark: SparkSession, sf_dir: str, dims: int = 8, most: int = 10) -> DataFrame:
-    """id, x (the first ``dims`` dimensions as doubles), label."""
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x (all dimensions as doubles), label."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    return e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("x"), F.col("label"))
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label"))
