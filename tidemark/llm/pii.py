@@ -43,6 +43,8 @@ _FAST = {
     "phone": BASE["phone"],
 }
 SUPPORT, GENERALISE, REMOVE = 2, 0.8, 0.95
+#: Hash slots by which the terms of all documents are filtered before they are dealt.
+SLOTS = 1 << 19
 _WORD = r"[\p{L}][\p{L}\p{N}'-]{2,}+"
 
 
@@ -85,12 +87,20 @@ def _words(text: Column, base: Column) -> Column:
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: (row, doc_id, text, base) of all documents, and their different terms (row, term)."""
+    """Two written tables: (row, doc_id, text, base) of all documents, and their different terms (row, holds, term), where
+    ``holds`` says that the document has a base span."""
     t = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     found = stored(t.withColumn("base", base_spans(F.col("text"))), "pii")
     plain = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
     own = F.when(F.size("base") > 0, F.transform(_words(F.col("text"), F.col("base")), lambda s: s["value"])).otherwise(plain)
-    return found, stored(found.select("row", F.explode(F.array_distinct(F.transform(own, lambda w: F.lower(w)))).alias("term")), "terms")
+    return found, stored(found.select("row", (F.size("base") > 0).alias("holds"), F.explode(F.array_distinct(F.transform(own, lambda w: F.lower(w)))).alias("term")), "terms")
+
+
+def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of ``words`` whose term may be one of ``terms``: by its slot out of SLOTS, so the broadcast side has SLOTS
+    numbers at most, and what is dealt afterwards is little more than what is needed."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
+    return words.join(F.broadcast(terms.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
 
 
 def disclosures(found: DataFrame, words: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
@@ -100,10 +110,12 @@ def disclosures(found: DataFrame, words: DataFrame, support: int = SUPPORT, leas
     set_of = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"set{k}") for k in (0, 1)]
     each = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"))))).alias("e"))
     entity = stored(each.groupBy("e").agg(F.count("*").alias("n_entity"), *set_of).where(F.col("n_entity") >= support), "entities")
-    term = stored(words.groupBy("term").agg(F.count("*").alias("n_term"), *set_of).where(F.col("n_term") >= support), "counts")
-    held = each.join(entity, "e").select("row", F.struct("set0", "set1").alias("c"), "n_entity").distinct()
-    held = stored(held, "held")
-    may = words.join(held.select("row").distinct().hint("merge"), "row", "left_semi").join(term, "term").select("row", F.struct("set0", "set1").alias("t"), "n_term").distinct()
+    held = stored(each.join(entity, "e").select("row", F.struct("set0", "set1").alias("c"), "n_entity").distinct(), "held")
+    near = stored(words.where("holds").join(held.select("row").distinct(), "row", "left_semi").select("row", "term"), "near")
+    # only terms that stand in a document with such an entity are counted, over all documents
+    count = _among(words, near).groupBy("term").agg(F.count("*").alias("n_term"), *set_of).where(F.col("n_term") >= support)
+    term = stored(count.join(near.select("term").distinct(), "term", "left_semi"), "counts")
+    may = near.join(term, "term").select("row", F.struct("set0", "set1").alias("t"), "n_term").distinct()
     # n_pair is n_entity at most, so only these can reach the threshold
     can = F.log(F.col("n_term")) <= F.log(F.col("n_entity")) + (1 - least) * (F.log(F.lit(n)) - F.log(F.col("n_entity"))) + 1e-9
     pair = may.join(held, "row").where(can).groupBy("c", "t").agg(F.count("*").alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).where(F.col("n_pair") >= support)
@@ -112,7 +124,7 @@ def disclosures(found: DataFrame, words: DataFrame, support: int = SUPPORT, leas
     share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     best = stored(pair.groupBy("t").agg(F.max(share).alias("share")).where(F.col("share") >= least), "best")
     out = stored(term.join(best, (F.col("set0") == F.col("t.set0")) & (F.col("set1") == F.col("t.set1"))).select("term", "share"), "disclosures")
-    drop(found.sparkSession, *(x._tidemark_path for x in (entity, term, held, best)))
+    drop(found.sparkSession, *(x._tidemark_path for x in (entity, term, held, near, best)))
     return out
 
 
@@ -121,7 +133,7 @@ def all_spans(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     found, words = find(docs)
     d = disclosures(found, words, support, generalise)
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    hit = words.join(d, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("told"))
+    hit = _among(words, d).join(d, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", action.alias("action")))).alias("told"))
     at = F.filter(_words(F.col("text"), F.col("base")), lambda s: F.map_contains_key("told", F.lower(s["value"])))
     terms = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("word"), F.element_at("told", F.lower(s["value"])).alias("action")))
     none = F.array().cast("array<struct<start:int,end:int,word:string,action:string>>")
