@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, omh, phrases, setsketch, suffixes, toxicity
+from tidemark.llm import common, omh, phrases, repair, setsketch, suffixes, toxicity
 
 from .conftest import LOW, frame
 
@@ -51,7 +52,7 @@ def test_near_duplicates(spark, rows):
         more.append((1000 + i, " ".join(w)))
     every = rows + more
     want = linked({i: shingle_set(t) for i, t in every})
-    for block in (setsketch.BLOCK, 20_000, 4_000):  # in one block, and over pairs of blocks, with components of several
+    for block in (setsketch.BLOCK, 4_000):  # in one block, and over pairs of blocks, with components of several
         got = {r.doc_id: r for r in setsketch.near_duplicates(frame(spark, every), block=block).collect()}
         for i, t in every:
             assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(shingle_set(t)), want[i], want[i] == i), i
@@ -348,3 +349,49 @@ def test_pipeline(spark, small):
             kept = {r.doc_id: r.text for r in before.collect()}
             assert {r.doc_id: r.decoded_sha256 for r in after.collect()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in kept.items()}
         before = after
+
+
+def twins():
+    """Two words of 2,048 letters that a polynomial hash modulo 2^64 cannot tell apart, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_twin_words(spark):
+    from tokenizers import Tokenizer
+
+    x, y = twins()
+    docs = frame(spark, [(1, x), (2, y), (3, f"{x} {y}"), (4, f"{y} one two three four five")])
+    got = {r.doc_id: r for r in setsketch.near_duplicates(docs).collect()}
+    assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    items = spark.createDataFrame([(1, x)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in phrases.contamination(docs, items).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+    out = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(frame(spark, [(1, x), (2, y)])).collect()}
+    assert out == {i: int(f.sum()) for i, f in zip((1, 2), repeats([x.encode(), y.encode()], 400))}
+    h = common.digests(np.frombuffer(f"{x}{y}{x}".encode(), np.uint8), np.array([0, 2048, 4096]), np.array([2048, 4096, 6144]), both=True)
+    assert h[0][0] == h[0][2] != h[0][1] and h[1][0] == h[1][2] != h[1][1]
+    row, index, text, begin = toxicity.spellings(np.frombuffer(f"{x} {y}".encode(), np.uint8), np.array([0, 4097]))
+    assert len(set(index.tolist())) == 2
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = {r.doc_id: r.ids_crc32 for r in repair.read_shards(repair.write_shards(docs, path)).collect()}
+    tok = Tokenizer.from_file(path)
+    assert ids[3] == zlib.crc32(np.array([*tok.encode(f"{x} {y}", add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, `__base` string, `__markov` string, `__rank` string, `__gone` string, `__hit` string, base string, gone string, rank string, hit string, markov string"
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    """The filtering stages on every name they might add, null ids and texts, repeats and an empty table."""
+    from tidemark.llm import secrets
+
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "key one two"), (None, None), (3, "password = hunter2hunter2 x"), (4, "alpha beta gamma")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1, *["z"] * 10) for i, t in rows], CLASH)
+    items = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    model = [0.0] * 128 * 128
+    for f in (lambda x: setsketch.one_of_each(x, 80), lambda x: phrases.clean(x, items), lambda x: secrets.redact(x, model), lambda x: toxicity.ordinary(x, 0.0)):
+        assert f(d).columns == d.columns and f(d.limit(0)).count() == 0
+        assert all(r["__base"] == r["hit"] == r["__rank"] == "z" for r in f(d).collect())
+    assert sorted(str(r.doc_id) for r in setsketch.one_of_each(d, 80).collect()) == ["1", "3", "4", "None", "None"]
+    assert sorted(str(r.doc_id) for r in phrases.clean(d, items).collect()) == ["1", "1", "2", "3", "None", "None"]
+    assert [r.text for r in secrets.redact(d, model).collect() if r.doc_id == 3] == ["[SECRET] x"]

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -50,7 +51,6 @@ def test_repair_shards(docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     shards = repair.write_shards(docs, WORDS, shard_tokens=2_000)
     assert shards.count() > 3
     got = {r.doc_id: r for r in repair.read_shards(shards).collect()}
@@ -111,3 +111,54 @@ def test_chat_parts(spark):
     assert "see ~1this~3<|image|><|audio|><|document|><|unknown|>" in r.formatted
     assert [(a.turn, a.type, a.ref) for a in r.attachments] == [(0, "image", "a.png"), (0, "audio", "b.wav"), (0, "document", "c.pdf"), (0, "odd", "d")]
     assert r.attachment_tokens == 2 * 2 + 63 + 3 * chat.PAGE_TOKENS + 1
+
+
+def test_repair_special_tokens(spark):
+    """Strings of special tokens as the library maps them by default: only as written, and wherever they stand."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    rng = random.Random(2)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "a", "É", "é", "'s", "don't", "12", " ", "\n", "!", "̸", "×", "日本", "İ", "x" * 300]
+    rows = [(0, "hello <|endoftext|> world"), (1, "<|endoftext"), (2, "|> <|startoftext|><|startoftext|>"), *((10 + i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(300))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in repair.read_shards(repair.write_shards(d, WORDS)).collect()}
+    for i, t in rows:
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), (i, t)
+    assert tok.encode(rows[0][1], add_special_tokens=False).ids == [3306, 49407, 1002]
+
+
+def test_repair_files_ascend(spark):
+    """Files and shards in them follow each other by doc_id; rows without an id and of one frequent id are spread."""
+    rows = [(None, f"null {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(60)] + [(100 + i, f"text {i}") for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    table = repair.write_shards(d, WORDS, parts=8)
+    files = sorted({r.f for r in table.select(F.col("_metadata.file_path").alias("f")).collect()})
+    ids = [x for f in files for r in spark.read.parquet(f).collect() for x in repair.Shard(bytes(r.payload)).doc_ids]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and len(ids) == 150
+    assert max(r.n_docs for r in table.groupBy("bucket").agg(F.sum("n_docs").alias("n_docs")).collect()) < 40
+    got = repair.read_shards(table).orderBy("start").collect()
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and [r.doc_id for r in got] == ids
+
+
+def test_repair_to_the_end():
+    """No pair inside a document is left that occurs MIN_COUNT times."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.tile(rng.integers(2, 50, 37), 20), rng.integers(2, 12, 5_000)]).astype(np.uint32)
+    per = rng.multinomial(len(x), np.ones(30) / 30)
+    seq, at, left, right = repair.compress(x, np.concatenate([[0], np.cumsum(per)]), 49_408)
+    pairs = {}
+    for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+        for p in zip(seq[a : z - 1].tolist(), seq[a + 1 : z].tolist()):
+            pairs[p] = pairs.get(p, 0) + 1
+    assert max(pairs.values()) < repair.MIN_COUNT and len(left) > 50
+
+
+def test_chat_places(spark):
+    part = lambda **k: {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | k
+    m = spark.createDataFrame([(1, 0, "user", [part(type="text", text="a<b"), part(type="image", ref="x", width=14, height=28)]), (1, 1, "assistant", [part(type="document", ref="y", pages=2), part(type="text", text="[ok]")])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    r = chat.format_chats(m).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))).first()
+    assert [(a.ref, a.tokens) for a in r.attachments] == [("x", 2), ("y", 2 * chat.PAGE_TOKENS)]
+    assert [r.formatted[a.place :].startswith(f"<|{a.type}|>") for a in r.attachments] == [True, True]
+    assert r.loss == "<|document|>[ok]"
