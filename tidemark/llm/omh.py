@@ -54,11 +54,12 @@ def follow(docs: DataFrame, parts: int) -> DataFrame:
     t = t.withColumn("low", _below(F.col("doc_id"), cuts, False)).withColumn("high", _below(F.col("doc_id"), cuts, True))
     several = F.col("high") - F.col("low")
     bucket = F.when(F.col("doc_id").isNull(), share(F.lit(blank))).when(several > 1, F.col("low") + 1 + share(several) + blank).otherwise(F.col("high") + blank).cast("int")
-    t = t.withColumn("bucket", bucket).select("bucket", "doc_id", "tie", "text")
+    # never null, and typed so: else the joins below filter one side before it is dealt, and the texts are dealt twice
+    t = t.withColumn("bucket", F.coalesce(bucket, F.lit(0))).select("bucket", "doc_id", "tie", "text")
     # the first text of each range, one row per range, also goes to the end of the range before it
     first = t.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("f"))
     ring = W.orderBy("bucket")
-    first = first.select(F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(ring), F.last("bucket").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"), "f")
+    first = first.select(F.col("bucket").alias("own"), F.coalesce(F.lag("bucket").over(ring), F.last("bucket").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(0)).alias("to"), "f")
     heads = t.join(F.broadcast(first), (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("tie") == F.col("f.tie"))).groupBy("to").agg(F.min("text").alias("text"))
     null = F.lit(None).cast("long")
     both = t.withColumn("extra", F.lit(0)).unionByName(heads.select(F.col("to").alias("bucket"), null.alias("doc_id"), null.alias("tie"), "text", F.lit(1).alias("extra")))
