@@ -282,8 +282,13 @@ LAYOUT_STEPS, LAYOUT_NEIGHBOURS, REPULSION, ATTRACTION = 120, 8, 0.002, 0.003
 
 
 def neighbour_layout(points: DataFrame) -> DataFrame:
-    """id, x, y: the two components relaxed by repulsion between all points and attraction of near ones; report-sized."""
+    """id, x, y: the two components relaxed by repulsion between all points and attraction of near ones.
+
+    All pairs of points are held in one task, so ``points`` are report-sized: at most 5 000 rows, more are an error.
+    """
     ship(points.sparkSession)
+    if points.limit(5_001).count() > 5_000:
+        raise ValueError("the layout is for report-sized tables")
     xy0 = {r["id"]: (r["pc1"], r["pc2"]) for r in two_components(points).collect()}
 
     def fit(pdf):
