@@ -241,6 +241,22 @@ def test_ranking(spark):
     assert sorted(one(ranking.key_snapshots(m), "window_ord")) == [0, 1, 2]
 
 
+def test_formatters_round_the_binary_value(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    v = [1.005, 0.125, 0.375, -0.125, 528.15, 9208.15, -0.001, 0.0, 1e23, 123456789012345678.0, 4503599627370497.5]
+    rows = [(9 * k + 1, x) for k, x in enumerate(v)] + [(9, 1.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["j4_formatters"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(catalog.ORACLE["j4_formatters"]).fetchall())
+    shown = spark.createDataFrame([(1.005,), (0.125,), (None,), (float("nan"),), (float("-inf"),)], "v double")
+    assert one(shown.select(ranking.dollars(F.col("v")).alias("v")), "v") == ["$1.00", "$0.12", "—", "—", "—"]
+
+
 def test_archive(spark, tmp_path):
     import zipfile
 

@@ -99,13 +99,19 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def _two_decimals(c: Column) -> Column:
+    """As C's printf: the binary value itself is rounded, ties to the even digit. Java's formatter rounds the shortest
+    decimal that stands for it, half up, so that 1.005, which is a little less, would become 1.01."""
+    return F.udf(lambda x: "%.2f" % x, "string")(F.coalesce(c.cast("double"), F.lit(0.0)))
+
+
 def dollars(c: Column) -> Column:
     """$0.00; anything not finite is a dash."""
-    return F.when(_finite(c), F.format_string("$%.2f", c)).otherwise("—")
+    return F.when(_finite(c), F.concat(F.lit("$"), _two_decimals(c))).otherwise("—")
 
 
 def percent(c: Column) -> Column:
-    return F.when(_finite(c), F.format_string("%.2f%%", c * 100)).otherwise("—")
+    return F.when(_finite(c), F.concat(_two_decimals(c * 100), F.lit("%"))).otherwise("—")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
