@@ -310,6 +310,20 @@ def test_toxicity_continuation_counts(spark):
             assert level.lam[k][np.searchsorted(level.ctx, np.uint64(c))] == pytest.approx(1 - p, abs=1e-5)
 
 
+def test_toxicity_scores_need_no_cut(spark):
+    """How many grams are broadcast changes no score, and ``ordinary`` drops what ``score`` predicts."""
+    docs, labels = toxic_corpus(spark)
+    docs = docs.unionByName(frame(spark, [(5000, "zqxuvw twice zqxuvw unseenword 12345678 ąžuolas"), (None, None)]))
+    trained = toxicity.train(docs.limit(900), labels)
+    whole = {r.doc_id: r.score for r in toxicity.score(docs, trained).collect()}
+    for kept in (300, 1):
+        few = toxicity.train(docs.limit(900), labels, kept=kept)
+        got = {r.doc_id: r.score for r in toxicity.score(docs, few).collect()}
+        assert got == pytest.approx(whole, abs=1e-9)
+    left = {r.doc_id for r in toxicity.ordinary(docs, few).collect()}
+    assert left == {i for i, s in whole.items() if s < 0.3}
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     docs, labels = toxic_corpus(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))

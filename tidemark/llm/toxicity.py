@@ -12,9 +12,11 @@ words by chance; a logistic curve over these gives the score.
 
 A gram is its own bytes, packed into one number, so none is mistaken for another. The class models are counted on all
 labelled documents outside the held-out fold and the curve's fold, the shared one on all documents; counts and
-continuations are distributed aggregations. What is broadcast is bounded: of each class and order, the grams whose
-share of all counts is at least 1 / ``kept``, which are ``kept`` at most; the probability of the others goes to the
-order below, after totals and discounts were taken over all of them. Only the curve, of a dozen numbers, is fitted on a
+continuations are distributed aggregations, and no gram is left out. The ratio of a byte is a function of the six bytes
+that end with it, so it is found once for each different gram, by joins with the counts. What is broadcast is bounded:
+the ratios of the most frequent grams, ``kept`` at most. A word with a gram that is not among them is open: it is written
+with its document, the ratios of its other grams come from the same joins, and the document's evidence is completed
+before it is scored; so ``kept`` decides how a word is scored, not what it gets. Only the curve, of a dozen numbers, is fitted on a
 bounded sample: at most ``sample`` labelled documents of its own fold (those with the smallest hashes of their doc_id).
 Words are runs of ASCII letters, digits, apostrophes and anything beyond ASCII, A-Z lower-cased.
 
@@ -32,10 +34,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop, ship, slices, stored, texts, words
+from .common import LOWER, ship, slices, stored, texts, words
 from .repair import expand
 
-#: Documents that the curve is fitted on, and grams of a class and order that are broadcast, at most.
+#: Documents that the curve is fitted on, and grams whose ratios are broadcast, at most.
 SAMPLE, KEPT = 4_000, 1 << 21
 ORDERS, SHARED_ORDER = (6, 4), 3
 #: How many of the most toxic words are averaged, and the log-likelihood ratios from which on words are counted.
@@ -111,7 +113,7 @@ def _discount(n1: float, n2: float) -> float:
 
 
 class Level:
-    """One order of both classes' models, as arrays by gram and by context."""
+    """One order of both classes' models, as arrays by gram and by context, to look at; see ``Model``."""
 
     def __init__(self, by_class: list[dict[str, np.ndarray]]):
         """Of each class: gram, ctx and n of the kept grams; ctxs, total and mass (of the kept grams, discounted) of
@@ -127,27 +129,20 @@ class Level:
             self.part[k, np.searchsorted(self.gram, c["gram"])] = np.maximum(c["n"] - c["d"], 0) / total[of]
             self.lam[k, np.searchsorted(self.ctx, c["ctxs"])] = 1 - c["mass"] / total
 
-    def places(self, ctx: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the arrays for grams and contexts; the last row is that of the unknown."""
-        gi, g_in = _find(self.gram, gram)
-        ci, c_in = _find(self.ctx, ctx)
-        return np.where(g_in, gi, len(self.gram)), np.where(c_in, ci, len(self.ctx))
 
-    def mixed(self, k: int, at: tuple[np.ndarray, np.ndarray], lower: np.ndarray | float) -> np.ndarray:
-        return self.part[k][at[0]] + self.lam[k][at[1]] * lower
+class Ratios:
+    """Ratios of grams, the part of a model that is broadcast; those of words while they stay in a bounded cache."""
 
-
-class Model:
-    def __init__(self, levels: list[Level], shared: Level):
-        """levels: highest order first; shared: one class."""
-        self.levels, self.shared = levels, shared
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.ratio = gram[order], ratio[order]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.known_ratio = np.empty(0, np.uint64), np.empty(0)
 
     def word_ratios(self, low: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Ratios of different words, by ascending hashes h; each is computed once while it stays in a bounded cache."""
+        """log P(word | toxic) - log P(word | ordinary) of different words, by ascending hashes h; nan where a word is open."""
         if len(self.known) + len(h) > CACHE_WORDS:
             self.forget()
         new = np.ones(len(h), bool)
@@ -155,22 +150,18 @@ class Model:
             new = ~_find(self.known, h)[1]
         if new.any():
             at = np.searchsorted(self.known, h[new])
-            got = self.ratios(*spelled(low, start[new], end[new]))
+            owner, _, r = self.by_gram(low, start[new], end[new])
+            got = np.bincount(owner, r, minlength=int(new.sum()))
             self.known, self.known_ratio = np.insert(self.known, at, h[new]), np.insert(self.known_ratio, at, got)
         return self.known_ratio[np.searchsorted(self.known, h)]
 
-    def ratios(self, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each different word."""
-        owner, ctx, gram = grams(text, begin, SHARED_ORDER)
-        base = self.shared.mixed(0, self.shared.places(ctx, gram), 1 / 256)
-        out = np.zeros(len(owner))
-        at = [level.places(*grams(text, begin, o)[1:]) for level, o in zip(self.levels, ORDERS)]
-        for k, sign in ((0, -1), (1, 1)):
-            p = base
-            for level, where in list(zip(self.levels, at))[::-1]:
-                p = level.mixed(k, where, p)
-            out += sign * np.log(p)
-        return np.bincount(owner, out, minlength=len(begin))
+    def by_gram(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, gram, ratio) of all grams of the words, nan for the ratios that are not here."""
+        owner, _, gram = grams(*spelled(low, start, end), ORDERS[0])
+        if not len(self.gram):
+            return owner, gram, np.full(len(gram), np.nan)
+        at, have = _find(self.gram, gram)
+        return owner, gram, np.where(have, self.ratio[at], np.nan)
 
 
 def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,29 +169,65 @@ def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, known[i] == x
 
 
-def features(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row per text: ratio per byte; means of the TOP most toxic words; log of 1 + the number of words above each
-    ratio of OUT; log of 1 + the number of words."""
+#: Evidence of a text: sum of its ratios, bytes with marks, most toxic words, words above each ratio of OUT, words.
+_BEST = slice(2, 2 + max(TOP))
+_ABOVE = slice(_BEST.stop, _BEST.stop + len(OUT))
+
+
+def evidence(ratios: Ratios, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
+    """One row per text, of its words that are not open; and of each text its open words: the sum of the ratios that are
+    here, the number of times, the grams whose ratios are not."""
     n = len(offsets) - 1
-    out = np.zeros((n, 2 + len(TOP) + len(OUT)))
+    out = np.zeros((n, _ABOVE.stop + 1))
+    late: list[list[dict]] = [[] for _ in range(n)]
     row, h, start, end = words(data, offsets, LOWER, _IN, spans=True)
     if not len(row):
-        return out
+        return out, late
+    low = LOWER[data]
     u, where, index = np.unique(h, return_index=True, return_inverse=True)
-    r = model.word_ratios(LOWER[data], u, start[where], end[where])[index]
-    each = np.bincount(row, minlength=n)
-    out[:, 0] = np.bincount(row, r, minlength=n) / np.maximum(np.bincount(row, end - start + 2, minlength=n), 1)
-    high = np.flatnonzero(r > 0)
-    order = high[np.lexsort((-r[high], row[high]))]
-    rows = row[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    for k, top in enumerate(TOP):
-        few = order[place < top]
-        out[:, 1 + k] = np.bincount(row[few], r[few], minlength=n) / top
+    by_word = ratios.word_ratios(low, u, start[where], end[where])
+    out[:, 1] = np.bincount(row, end - start + 2, minlength=n)
+    out[:, -1] = np.bincount(row, minlength=n)
+    open_ = np.isnan(by_word)
+    if open_.any():
+        which = np.flatnonzero(open_)
+        owner, gram, r = ratios.by_gram(low, start[where[which]], end[where[which]])
+        here = ~np.isnan(r)
+        base = np.bincount(owner[here], r[here], minlength=len(which))
+        cuts = np.searchsorted(owner[~here], np.arange(len(which) + 1))
+        rest = gram[~here].view(np.int64)
+        at = np.flatnonzero(open_[index])
+        pair, times = np.unique(row[at] * len(u) + index[at], return_counts=True)
+        place = np.searchsorted(which, pair % len(u))
+        for i, k, c in zip((pair // len(u)).tolist(), place.tolist(), times.tolist()):
+            late[i].append({"base": base[k], "n": c, "grams": rest[cuts[k] : cuts[k + 1]]})
+        row, index = row[~open_[index]], index[~open_[index]]
+    add(out, row, by_word[index])
+    return out, late
+
+
+def add(out: np.ndarray, row: np.ndarray, r: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Add the ratios of words to the evidence of their texts."""
+    n = len(out)
+    times = np.ones(len(r), np.int64) if times is None else times
+    out[:, 0] += np.bincount(row, r * times, minlength=n)
     for k, least in enumerate(OUT):
-        out[:, 1 + len(TOP) + k] = np.log1p(np.bincount(row[r > least], minlength=n))
-    out[:, -1] = np.log1p(each)
-    return out
+        out[:, _ABOVE.start + k] += np.bincount(row[r > least], times[r > least], minlength=n)
+    high = np.flatnonzero(r > 0)
+    most = max(TOP)
+    high = np.repeat(high, np.minimum(times[high], most))
+    rows = np.concatenate([row[high], np.repeat(np.arange(n), most)])
+    r = np.concatenate([r[high], out[:, _BEST].ravel()])
+    order = np.lexsort((-r, rows))
+    place = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order])
+    out[:, _BEST] = r[order[place < most]].reshape(n, most)
+
+
+def features(e: np.ndarray) -> np.ndarray:
+    """Of evidence: ratio per byte; means of the TOP most toxic words; log of 1 + the number of words above each ratio of
+    OUT; log of 1 + the number of words."""
+    best = np.cumsum(e[:, _BEST], axis=1)
+    return np.column_stack([e[:, 0] / np.maximum(e[:, 1], 1), *(best[:, t - 1] / t for t in TOP), np.log1p(e[:, _ABOVE]), np.log1p(e[:, -1])])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,26 +310,93 @@ def _by_size(gram: Column, sizes: range, f) -> Column:
     return out
 
 
+def _low(g: Column, order: int, lower: int) -> Column:
+    """The gram of order ``lower`` that ends a gram of ``order``."""
+    return F.when(g < F.lit(1 << (8 * lower)), g).otherwise(_by_size(g, range(lower + 1, order + 1), lambda k: F.shiftright(g, 8 * (k - lower))))
+
+
+def _context(g: Column, order: int) -> Column:
+    """A gram of ``order`` without its last byte."""
+    return _by_size(g, range(2, order + 1), lambda j: g.bitwiseAND(F.lit((1 << (8 * (j - 1))) - 1)))
+
+
 def _continued(rows: DataFrame, order: int, lower: int) -> DataFrame:
     """The grams of order ``lower``, each with the number of different grams of ``order`` that end with it; with its
     weight where it begins with its word."""
     g = F.col("gram")
-    whole = g < F.lit(1 << (8 * lower))
-    low = F.when(whole, g).otherwise(_by_size(g, range(lower + 1, order + 1), lambda k: F.shiftright(g, 8 * (k - lower))))
-    return rows.select("cls", low.alias("gram"), F.when(whole, F.col("n")).otherwise(F.lit(1)).alias("n")).groupBy("cls", "gram").agg(F.sum("n").alias("n"))
+    n = F.when(g < F.lit(1 << (8 * lower)), F.col("n")).otherwise(F.lit(1))
+    return rows.select("cls", _low(g, order, lower).alias("gram"), n.alias("n")).groupBy("cls", "gram").agg(F.sum("n").alias("n"))
 
 
-def _taken(rows: DataFrame, order: int, classes: range, kept: int) -> list[dict]:
-    """What ``Level`` needs of each class of ``rows`` (cls, gram, n), a written table; at most ``kept`` grams of a class,
-    and as many contexts, come to the driver: no more can have 1 / ``kept`` of all counts each."""
+def _stats(rows: DataFrame) -> dict:
+    """By class: all counts, how many grams have count 1 and 2."""
     one = lambda k: F.sum((F.col("n") == k).cast("long"))
-    stats = {r["cls"]: r for r in rows.groupBy("cls").agg(F.sum("n").alias("all"), one(1).alias("n1"), one(2).alias("n2")).collect()}
+    return {r["cls"]: r for r in rows.groupBy("cls").agg(F.sum("n").alias("all"), one(1).alias("n1"), one(2).alias("n2")).collect()}
+
+
+def _mixed(grams_: DataFrame, rows: DataFrame, order: int, classes: int, stats: dict) -> DataFrame:
+    """``grams_`` (gram, l0, .. : the probabilities of the order below) with their probabilities p0, .. by class, from all of
+    ``rows`` (cls, gram, n)."""
+    ks = range(classes)
+    own = rows.groupBy("gram").agg(*(F.sum(F.when(F.col("cls") == k, F.col("n"))).alias(f"n{k}") for k in ks))
+    of = own.groupBy(_context(F.col("gram"), order).alias("ctx")).agg(*(F.sum(f"n{k}").alias(f"total{k}") for k in ks), *(F.count(f"n{k}").alias(f"kinds{k}") for k in ks))
+
+    def p(k):
+        d, total = F.lit(_discount(stats[k]["n1"], stats[k]["n2"])), F.col(f"total{k}")
+        return (F.coalesce((F.col(f"n{k}") - d) / total, F.lit(0.0)) + F.coalesce(d * F.col(f"kinds{k}") / total, F.lit(1.0)) * F.col(f"l{k}")).alias(f"p{k}")
+
+    return grams_.withColumn("ctx", _context(F.col("gram"), order)).join(own, "gram", "left").join(of, "ctx", "left").select("gram", *map(p, ks))
+
+
+class Model:
+    """Counts of all grams, as written tables (cls, gram, n): of each of ORDERS by class, and of the shared order."""
+
+    def __init__(self, by_class: list[DataFrame], shared: DataFrame, every: DataFrame, kept: int):
+        """every: the grams of all documents with their numbers."""
+        self._by_class, self._shared, self._kept = by_class, shared, kept
+        self._stats = [_stats(x) for x in (*by_class, shared)]
+        # from the smallest count on that not more than ``kept`` grams have; counts beyond the last are not told apart
+        last = 1 << 12
+        have = {r["n"]: r["grams"] for r in every.groupBy(F.least("n", F.lit(last)).alias("n")).agg(F.count("*").alias("grams")).collect()}
+        least, held = last + 1, 0
+        while least > 1 and held + have.get(least - 1, 0) <= kept:
+            least -= 1
+            held += have.get(least, 0)
+        if least > last:  # more than ``kept`` grams have the last count: their share of all counts tells them apart
+            least = max(last, -(-every.agg(F.sum("n")).first()[0] // kept))
+        top = self.ratios(every.where(F.col("n") >= least).select("gram")).toArrow()
+        self.sent = Ratios(top.column("gram").to_numpy().view(np.uint64), top.column("ratio").to_numpy())
+
+    def ratios(self, grams_: DataFrame) -> DataFrame:
+        """gram, ratio of different grams of the highest order: log P(last byte | toxic) - log P(last byte | ordinary)."""
+        high, low = ORDERS
+        g = F.col("gram")
+        fours = grams_.select(_low(g, high, low).alias("gram")).distinct()
+        threes = fours.select(_low(g, low, SHARED_ORDER).alias("gram")).distinct().withColumn("l0", F.lit(1 / 256))
+        base = _mixed(threes, self._shared, SHARED_ORDER, 1, self._stats[2]).select(g.alias("low"), F.col("p0").alias("l0"), F.col("p0").alias("l1"))
+        fours = fours.withColumn("low", _low(g, low, SHARED_ORDER)).join(base, "low").drop("low")
+        base = _mixed(fours, self._by_class[1], low, 2, self._stats[1]).select(g.alias("low"), F.col("p0").alias("l0"), F.col("p1").alias("l1"))
+        sixes = grams_.withColumn("low", _low(g, high, low)).join(base, "low").drop("low")
+        return _mixed(sixes, self._by_class[0], high, 2, self._stats[0]).select("gram", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+    @property
+    def levels(self) -> list[Level]:
+        """The frequent grams of each order, highest first, to look at; no score is made of them."""
+        return [Level(_frequent(x, o, range(2), self._kept)) for x, o in zip(self._by_class, ORDERS)]
+
+    @property
+    def shared(self) -> Level:
+        return Level(_frequent(self._shared, SHARED_ORDER, range(1), self._kept))
+
+
+def _frequent(rows: DataFrame, order: int, classes: range, kept: int) -> list[dict]:
+    """What ``Level`` needs of each class of ``rows`` (cls, gram, n), a written table: the grams with at least 1 / ``kept``
+    of all counts, the probability of the others going to the order below."""
+    stats = _stats(rows)
     out = []
     for k in classes:
-        if k not in stats:
-            return []
         d, least = _discount(stats[k]["n1"], stats[k]["n2"]), -(-stats[k]["all"] // kept)
-        own = rows.where(F.col("cls") == k).select("gram", _by_size(F.col("gram"), range(2, order + 1), lambda j: F.col("gram").bitwiseAND(F.lit((1 << (8 * (j - 1))) - 1))).alias("ctx"), "n")
+        own = rows.where(F.col("cls") == k).select("gram", _context(F.col("gram"), order).alias("ctx"), "n")
         held = F.col("n") >= F.lit(least)
         top = own.where(held).toArrow()
         ctx = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum(F.when(held, F.greatest(F.col("n") - F.lit(d), F.lit(0.0))).otherwise(F.lit(0.0))).alias("mass"), F.max(held).alias("held")).where("held").select("ctx", "total", "mass").toArrow()
@@ -324,64 +418,97 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     # the fold is known before the join: only texts that can have a label are dealt
     labelled = t.where(~fold(F.col("doc_id")).isin(held_out, last)).join(own, "doc_id").select("cls", "text")
     top = stored(_merged(labelled, ORDERS[0]), "grams")
-    by_class = {ORDERS[0]: _taken(top, ORDERS[0], range(2), kept)}
-    if not by_class[ORDERS[0]]:
+    if len(_stats(top)) < 2:
         return share
     lower = stored(_continued(top, *ORDERS), "grams")
-    by_class[ORDERS[1]] = _taken(lower, ORDERS[1], range(2), kept)
-    rows = stored(_continued(_merged(t.select(F.lit(0).alias("cls"), "text"), SHARED_ORDER + 1), SHARED_ORDER + 1, SHARED_ORDER), "grams")
-    model = Model([Level(by_class[o]) for o in ORDERS], Level(_taken(rows, SHARED_ORDER, range(1), kept)))
-    drop(spark, *(x._tidemark_path for x in (top, lower, rows)))
-    seen = _sampled(t, _pick(known.where(F.col("fold") == last), sample, 0, 1)).mapInArrow(_scorer(spark.sparkContext.broadcast(pickle.dumps((model, None)))), "key long, x array<double>").toArrow()
-    y = np.array(seen.column("key").to_pylist(), float)
+    every = stored(_merged(t.select(F.lit(0).alias("cls"), "text"), ORDERS[0]), "grams")
+    # the counts of the order above the shared one are sums of these
+    above = every.groupBy("cls", _low(F.col("gram"), ORDERS[0], SHARED_ORDER + 1).alias("gram")).agg(F.sum("n").alias("n"))
+    model = Model([top, lower], stored(_continued(above, SHARED_ORDER + 1, SHARED_ORDER), "grams"), every, kept)
+    seen = _evidence(_sampled(t, _pick(known.where(F.col("fold") == last), sample, 0, 1)), model).toArrow()
+    y = np.array(seen.column("toxic").to_pylist(), float)
     if not len(y) or y.min() == y.max():
         return share
-    curve = fit_curve(np.array(seen.column("x").to_pylist()), np.minimum(y, 1))
+    curve = fit_curve(features(np.array(seen.column("e").to_pylist())), np.minimum(y, 1))
     return model, curve
 
 
-def _scorer(sent):
-    def run(batches):
+def _evidence(t: DataFrame, model: Model) -> DataFrame:
+    """The first column of ``t`` and the evidence e of its second, the text; a row for each row."""
+    spark = t.sparkSession
+    key = t.columns[0]
+    kind = t.schema[key].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(pickle.dumps(model.sent))
+
+    def measure(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        model, curve = pickle.loads(sent.value)
+        ratios = pickle.loads(sent.value)
+        open_ = pa.list_(pa.struct([("base", pa.float64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))]))
+        done = TaskContext.get().partitionId() << 40
         for b in batches:
             for first, last, data, off in slices(b.column(1)):
-                x = features(model, data, off)
-                key = b.column(0).slice(first, last - first).cast(pa.int64())
-                if curve is None:
-                    yield pa.RecordBatch.from_arrays([key, pa.array(x.tolist(), pa.list_(pa.float64()))], names=["key", "x"])
-                else:
-                    yield pa.RecordBatch.from_arrays([key, pa.array(apply_curve(curve, x))], names=["key", "score"])
+                e, late = evidence(ratios, data, off)
+                ids = np.arange(done, done + len(e))
+                done += len(e)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(ids), pa.array(list(e), pa.list_(pa.float64())), pa.array(late, open_)], names=[key, "id", "e", "late"])
+
+    # written once, so the ids stay what they are
+    found = stored(t.mapInArrow(measure, f"`{key}` {kind}, id long, e array<double>, late array<struct<base:double,n:long,grams:array<long>>>"), "evidence")
+    late = found.where(F.size("late") > 0)
+    if late.limit(1).count() == 0:
+        return found.select(key, "e")
+    late = late.select("id", F.posexplode("late").alias("word", "w")).select("id", "word", "w.base", "w.n", F.explode("w.grams").alias("gram"))
+    late = late.join(model.ratios(late.select("gram").distinct()), "gram")
+    late = late.groupBy("id", "word").agg((F.first("base") + F.sum("ratio")).alias("r"), F.first("n").alias("n"))
+    late = late.groupBy("id").agg(F.collect_list("r").alias("r"), F.collect_list("n").alias("n"))
+
+    def complete(batches):
+        import pyarrow as pa
 
-    return run
+        for b in batches:
+            e = np.array(b.column(1).to_pylist()).reshape(b.num_rows, -1)
+            r, n = b.column(2).fill_null([]), b.column(3).fill_null([])
+            if b.num_rows and len(r.flatten()):
+                each = np.diff(r.offsets.to_numpy())
+                add(e, np.repeat(np.arange(len(e)), each), r.flatten().to_numpy(), n.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(e), pa.list_(pa.float64()))], names=[key, "e"])
+
+    return found.join(late, "id", "left").select(key, "e", "r", "n").mapInArrow(complete, f"`{key}` {kind}, e array<double>")
+
+
+def _scored(t: DataFrame, trained) -> DataFrame:
+    """The first column of ``t`` and the score of its second, the text."""
+    model, curve = trained
+    e = _evidence(t, model)
+    key = e.columns[0]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = features(np.array(b.column(1).to_pylist()).reshape(b.num_rows, _ABOVE.stop + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(apply_curve(curve, x))], names=[key, "score"])
+
+    return e.mapInArrow(run, f"`{key}` {e.schema[key].dataType.simpleString()}, score double")
 
 
 def score(docs: DataFrame, trained, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted of every document. Map-only."""
+    """doc_id, score, predicted of every document."""
     t = texts(docs)
     t = t.select(t["doc_id"].cast("long").alias("doc_id"), "text")
-    if isinstance(trained, float):
-        s = t.select("doc_id", F.lit(trained).alias("score"))
-    else:
-        s = t.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(pickle.dumps(trained))), "key long, score double").withColumnRenamed("key", "doc_id")
+    s = t.select("doc_id", F.lit(trained).alias("score")) if isinstance(trained, float) else _scored(t, trained)
     return s.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def ordinary(docs: DataFrame, trained, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted to be toxic, with all their columns. Map-only."""
+    """The rows of ``docs`` whose text is not predicted to be toxic, with all their columns. Texts are told apart by their
+    SHA-256; only those that go are written."""
     if isinstance(trained, float):
         return docs if trained < threshold else docs.limit(0)
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(trained))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        model, curve = pickle.loads(sent.value)
-        for b in batches:
-            for first, last, data, off in slices(b.column(at)):
-                yield b.slice(first, last - first).filter(pa.array(apply_curve(curve, features(model, data, off)) < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    s = _scored(docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")), trained)
+    gone = stored(s.where(F.col("score") >= threshold).select("sha").distinct(), "toxic")
+    return docs.join(gone, F.sha2(text.cast("binary"), 256) == gone["sha"], "left_anti")
