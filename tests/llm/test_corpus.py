@@ -371,6 +371,22 @@ def twins():
     return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
+def test_toxicity_stage_needs_no_cut(spark, tmp_path, monkeypatch):
+    """The pipeline's stage drops the same rows however few grams are broadcast."""
+    import functools
+
+    import corpus_pipeline
+
+    docs, labels = toxic_corpus(spark)
+    labels.coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    train = toxicity.train
+    left = []
+    for kept in (1 << 21, 1):
+        monkeypatch.setattr(toxicity, "train", functools.partial(train, kept=kept))
+        left.append({tuple(r) for r in corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).collect()})
+    assert left[0] == left[1] and 0 < len(left[0]) < 900
+
+
 def test_twin_words(spark):
     from tokenizers import Tokenizer
 
