@@ -162,3 +162,32 @@ def test_chat_places(spark):
     assert [(a.ref, a.tokens) for a in r.attachments] == [("x", 2), ("y", 2 * chat.PAGE_TOKENS)]
     assert [r.formatted[a.place :].startswith(f"<|{a.type}|>") for a in r.attachments] == [True, True]
     assert r.loss == "<|document|>[ok]"
+
+
+def test_repair_takes_pairs_that_wait():
+    """Pairs taken together have one side for each id, and none is left that could be taken too."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        lhs, rhs = np.unique(rng.integers(0, 30, (60, 2)), axis=0)[rng.permutation(40)].T
+        took = repair._compatible(lhs, rhs)
+        a, b = lhs[took], rhs[took]
+        twin = set(a[a == b].tolist())
+        assert took[0] == 0 and not (set(a.tolist()) & set(b.tolist())) - twin
+        assert all(int(((a == t) | (b == t)).sum()) == 1 for t in twin)
+        for k in set(range(len(lhs))) - set(took.tolist()):
+            x, y = lhs[k], rhs[k]
+            assert x in b or y in a or (x == y and x in a) or x in twin or y in twin
+
+
+def test_repair_rules_in_layers():
+    """Lengths and expansions of rules that use earlier ones, against expansion one by one."""
+    rng = np.random.default_rng(4)
+    left, right = (np.array([rng.integers(0, 5 + k) for k in range(40)]) for _ in range(2))
+    out = [[i] for i in range(5)]
+    for a, b in zip(left.tolist(), right.tolist()):
+        out.append(out[a] + out[b])
+    lens = repair.lengths(left, right, 5)
+    assert lens.tolist() == [len(x) for x in out[5:]] and len(repair.lengths(left[:0], right[:0], 5)) == 0
+    s = object.__new__(repair.Shard)
+    s.base, s.left, s.right, s.lens, s._pool = 5, left, right, lens, None
+    assert s.pool().tolist() == [i for x in out[5:] for i in x]
