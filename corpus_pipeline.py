@@ -5,9 +5,9 @@ Documents predicted to be toxic go; one document of each group of near-duplicate
 benchmark passage go; secrets in the texts of the rest are replaced by a mark; what is left is encoded.
 
 Null texts count as empty and are kept by every filtering stage, as are empty ones; the secrets stage writes them as empty
-texts. Rows without a doc_id are documents of their own and are never dropped as near-duplicates; of rows that share a
-doc_id the near-duplicate stage keeps the one with the text that sorts last (equal texts: one of them), the others treat
-each row for itself. Very long texts are taken whole. Extra columns pass through up to the encoding, whatever their
+texts. Rows without a doc_id are documents of their own and are never dropped as near-duplicates. In the near-duplicate
+stage different texts that share a doc_id are documents of their own, and of rows with the same doc_id and text one
+stays; the other stages treat each row for itself. Very long texts are taken whole. Extra columns pass through up to the encoding, whatever their
 names. An empty table gives an empty table.
 
 A stage is called when the result of the one before it has been written and read again; it first deletes the scratch

@@ -425,3 +425,19 @@ def test_clashing_columns_and_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in setsketch.one_of_each(d, 80).collect()) == ["1", "3", "4", "None", "None"]
     assert sorted(str(r.doc_id) for r in phrases.clean(d, items).collect()) == ["1", "1", "2", "3", "None", "None"]
     assert [r.text for r in secrets.redact(d, model).collect() if r.doc_id == 3] == ["[SECRET] x"]
+
+
+def test_different_texts_of_one_doc_id_stay(spark):
+    """The near-duplicate stage drops a row only for a copy: texts that share a doc_id are compared like any others."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words[:20]), " ".join(words[20:40]), " ".join(words[40:])
+    for rows, want in (
+        ([(1, a), (1, b), (1, c), (2, "x y z")], {(1, a), (1, b), (1, c), (2, "x y z")}),
+        ([(1, a), (1, b), (1, b), (2, a), (None, a)], {(1, b), (2, a), (None, a)}),  # the copy under another text's doc_id goes
+        ([(1, a), (1, a + " w0"), (2, b), (2, None), (3, "")], {(1, a + " w0"), (2, b), (2, None), (3, "")}),
+    ):
+        d = frame(spark, rows).repartition(3)
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, d, "").collect()]
+        assert len(got) == len(want) and set(got) == want

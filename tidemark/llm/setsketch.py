@@ -294,15 +294,36 @@ def _units(rest: DataFrame, m: int, block: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near-duplicates is kept, with all their
-    columns. Of rows that share a doc_id, the one with the text that sorts last stays."""
-    gone = near_duplicates(docs, percent, rows=rows_for(percent)).where("not kept")
-    name = free_name("gone", docs)
-    left = docs.join(gone.select(F.col("doc_id").alias(name)).hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return left
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
-    name = free_name("rank", docs)
-    return left.withColumn(name, rank).where((F.col(name) == 1) | F.col("doc_id").isNull()).drop(name)
+    columns. Different texts that share a doc_id are documents of their own; of rows with the same doc_id and text one
+    stays."""
+    name = free_name("own", docs)
+    own = _own_ids(docs, name)
+    gone = near_duplicates(own.select(F.col(name).alias("doc_id"), "text"), percent, rows=rows_for(percent)).where("not kept")
+    other = free_name("gone", own)
+    return own.join(gone.select(F.col("doc_id").alias(other)).hint("merge"), F.col(name) == F.col(other), "left_anti").select(*docs.columns)
+
+
+def _own_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: an id for each different text of a doc_id, on one row. It is the doc_id for the text that
+    sorts last, and for the others one from 2^62 on that no row has, so that they never stand for a group with other rows."""
+    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if many.limit(1).count() == 0:
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha = F.sha2(text.cast("binary"), 256)
+    last = free_name("last", docs)
+    tops = docs.join(many.hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias(name)).agg(F.max(text).alias(last))
+    tops = stored(tops.select(name, F.sha2(F.col(last).cast("binary"), 256).alias(last)), "tops")
+    d = docs.join(tops.hint("merge"), docs["doc_id"] == tops[name], "left").drop(name)
+    shared = F.col(last).isNotNull()
+    for salt in range(16):
+        fresh = F.xxhash64("doc_id", text, F.lit(salt)).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        own = d.withColumn(name, F.when(shared & (sha != F.col(last)), fresh).otherwise(F.col("doc_id").cast("long")))
+        new = stored(own.where(shared & (sha != F.col(last))).select(name, "doc_id", sha.alias(last)).distinct(), "own")
+        taken = new.select(name).join(docs.select(F.col("doc_id").cast("long").alias(name)), name, "left_semi")
+        if new.groupBy(name).count().where("count > 1").limit(1).count() == 0 and taken.limit(1).count() == 0:
+            return own.where(~shared).unionByName(own.where(shared).dropDuplicates([name])).drop(last)
+    raise RuntimeError("no free doc_ids")
 
 
 def rows_for(percent: int) -> int:
